@@ -1,15 +1,81 @@
-"""The stages of a corpus build, each over all that the one before it kept."""
+"""The stages of a corpus build: each works on all that the one before it kept, and its decisions take effect.
+
+1. language: documents whose language cannot be told go;
+2. near duplicates: of each group of linked documents (5-word shingles, similarity of 0.8 or more) the one of least id stays;
+3. decontamination: documents that a test item leaks into go;
+4. mixing: each document stays as often as the mix takes it, documents that it does not take go;
+5. sharding: every row gets its shard and its place in it.
+
+Every stage gives back the columns of documents, the last one adds ``shard``, ``slot`` and ``size``. Texts are whole; null
+texts have no language and go with the first stage. From stage 2 on, rows of one id are one document. An empty table gives an empty table.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from donorloom.llm.decontaminate import drop_leaks
+from donorloom.llm.language_id import identify
+from donorloom.llm.mixing import mix
 from donorloom.llm.ngram_join import ngram_jaccard_join
+from donorloom.llm.sharding import shard_by_bytes
+from donorloom.operators.shared import materialize
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(*COLUMNS)
+
+
+def _once(docs: DataFrame) -> DataFrame:
+    """One row of each id, where a table repeats any."""
+    if docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return _rows(docs)
+    return _rows(docs).dropDuplicates(["doc_id"])
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    gone = identify(docs).filter(~F.col("kept")).select("doc_id")
+    return _rows(docs).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    joined = ngram_jaccard_join(docs, k=5, percent=80)
+    gone = joined.filter(F.col("doc_id") != F.col("component_id")).select("doc_id")
+    return _once(docs).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_leaks(_rows(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs = _once(docs)
+    copies = mix(docs, weights=(5, 2, 1), percent=150, repeats=2).filter("copies > 0").select("doc_id", "copies")
+    return docs.join(copies, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*COLUMNS)
+
+
+def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    placed = shard_by_bytes(docs, shards=16)
+    return placed.select("doc_id", "size", "text_crc32", "shard", "slot")
+
 
-STAGES: list = []
+STAGES = [
+    ("language_id", language),
+    ("ngram_jaccard_join", near_duplicates),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
+    ("sharding", sharding),
+]
+#: Several stages have no SQL form; the pipeline is tested against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

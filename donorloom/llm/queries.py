@@ -2,23 +2,121 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from donorloom.llm.chat import format_conversations, read_loss, read_turns
+from donorloom.llm.decontaminate import find_leaks
+from donorloom.llm.fingerprint import edited_fingerprints
+from donorloom.llm.language_id import identify
+from donorloom.llm.mixing import mix
 from donorloom.llm.ngram_join import ngram_jaccard_join
+from donorloom.llm.quality import fit_quality, score_quality
+from donorloom.llm.sharding import shard_by_bytes
+from donorloom.llm.token_counts import read_vocabulary, token_counts
+from donorloom.llm.toxicity import fit_toxicity, score_toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _fold(modulus: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity; labels of the held-out fold (remainder 1 of 3) are never read."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_toxicity(docs, _table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(_fold(3) != 1))
+    scored = score_toxicity(docs, model, threshold=0.7)
+    return scored.select("doc_id", (_fold(3) == 1).alias("held_out"), "score", "predicted")
+
+
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation formatted, and what is read back from the formatted string."""
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.sql(r"""SELECT * FROM VALUES (-7L, 0L, 'user', r'</s>[INST] ok [/INST]'), (-7L, 1L, 'assistant', r'</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)""")
+    done = format_conversations(turns.unionByName(probe))
+    back = done.select("conv_id", "formatted", read_turns(F.col("formatted")).alias("turns"), read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the least id it reaches by links (4-word shingles, similarity of 0.85 or more)."""
     return ngram_jaccard_join(_table(spark, sf_dir, "documents"), k=4, percent=85).drop("node")
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in one of 16 shards of near equal bytes, rows of equal text together."""
+    return shard_by_bytes(_table(spark, sf_dir, "documents"), shards=16)
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language from its text, its declared language and its source."""
+    return identify(_table(spark, sf_dir, "documents"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens under the public vocabulary of 32,000 pieces."""
+    return token_counts(_table(spark, sf_dir, "documents"), read_vocabulary())
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix of 150% of all words takes of every document; weights 5, 2, 1, no source above twice its size."""
+    mixed = mix(_table(spark, sf_dir, "documents"), weights=(5, 2, 1), percent=150, repeats=2)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality; labels of the held-out fold (remainder 0 of 5) are never read."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    trees = fit_quality(docs, _table(spark, sf_dir, "labels").select("doc_id", "quality").filter(_fold(5) != 0))
+    scored = score_quality(docs, trees, threshold=0.3)
+    return scored.select("doc_id", (_fold(5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint, and that of its text edited with the next one's."""
+    return edited_fingerprints(_table(spark, sf_dir, "documents"))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of a document and a test item that leaks into it."""
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), coverage=0.5, seed=5)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_ngram_jaccard,)}
+    own = (
+        op1_toxicity, op2_chat_format, op3_ngram_jaccard, op4_sharding, op5_language_id,
+        op6_token_counts, op7_mixing, op8_quality, op9_fingerprints, op10_decontamination,
+    )
+    return {f.__name__: f for f in own}
+
+
+#: The template as SQL counts it: what stands before a turn, and the escaped length of a string.
+_OP2 = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))
+), u AS (
+  SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before,
+         length(regexp_replace(replace(role, '\', '\\'), '([<\[])(\||/?s>|</?SYS>>|/?INST\])', '\1\\\2', 'g')) AS role_chars,
+         length(regexp_replace(replace(text, '\', '\\'), '([<\[])(\||/?s>|</?SYS>>|/?INST\])', '\1\\\2', 'g')) AS text_chars
+  FROM t)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(text_chars + CASE WHEN before = role THEN length('<|turn|>')
+                                  ELSE length('<|start|><|sep|><|end|>') + 1 + role_chars END) AS BIGINT) AS formatted_chars
+FROM u GROUP BY conv_id
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_chat_format": _OP2}
