@@ -9,6 +9,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _lcs_big(a: str, b: str) -> int:
@@ -87,7 +88,7 @@ def partial_ratios(a: list[str], b: list[str]) -> np.ndarray:
     return out
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _indel(a: pd.Series, b: pd.Series) -> pd.Series:
     ok = (a.notna() & b.notna()).to_numpy()
     out = np.full(len(a), np.nan)
@@ -95,7 +96,7 @@ def _indel(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out).where(ok, None)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _partial(a: pd.Series, b: pd.Series) -> pd.Series:
     ok = (a.notna() & b.notna()).to_numpy()
     out = np.full(len(a), np.nan)
