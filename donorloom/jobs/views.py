@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from donorloom.operators.rollup import CONTRIBUTION_COLUMNS, matched_rows
+from donorloom.operators.shared import ship_package
 from donorloom.operators.supersession import drop_superseded
 from donorloom.sources.filings import registry
 
@@ -13,6 +14,7 @@ TARGETS, AFFILIATES = range(12), range(12, 22)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

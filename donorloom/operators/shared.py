@@ -2,12 +2,36 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let the executors import this package, where neither their path nor (on one machine) the folder they start in has
+    it: it is added to the application as a zip, once."""
+    context, package = spark.sparkContext, Path(__file__).resolve().parents[1]
+    root = package.parent
+    found = {Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
+    if context.master.startswith("local[") or context.master == "local":
+        found.add(Path.cwd().resolve())
+    if root in found or context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    path = Path(tempfile.mkdtemp(prefix="spark-package-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    context.addPyFile(str(path))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; a local one is set only where the session names none (tests)."""
     context = spark.sparkContext
