@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -31,9 +31,9 @@ WORD = re.compile(r"\w+")
 #: Labelled rows of each class that the lexicon and the weights are fitted on, at most: those of least hash.
 FIT_ROWS = 4000
 #: Learned entries at most, and their lengths.
-LEARNED, STEMS = 512, (4, 5, 6, 8)
+LEARNED, STEMS = 512, (4, 5, 6, 7, 8, 9)
 WINDOW = 5
-FEATURES = ("abuse", "quoted", "abuse_misspelt", "quoted_misspelt", "addressed", "terms")
+FEATURES = ("abuse", "quoted", "abuse_misspelt", "quoted_misspelt", "addressed", "terms", "density")
 
 
 @dataclass(frozen=True)
@@ -41,12 +41,14 @@ class Term:
     text: str
     stem: bool = False
     weight: float = 3.0
+    misspelt: float = 1.5
 
     @property
     def edits(self) -> int:
-        """Edits that a misspelling may have: none in short terms, whose neighbours are other words."""
+        """Edits that a misspelling may have: none in short terms and in beginnings of words, whose neighbours are
+        other words."""
         n = len(self.text)
-        return 0 if n < 5 or (self.stem and n < 7) else 1 if n < 9 else 2
+        return 0 if n < 5 or self.stem else 1 if n < 9 else 2
 
 
 @dataclass
@@ -95,8 +97,8 @@ class Automaton:
             self.sets.append(key)
             self.steps.append({})
             hits = sorted((e, t) for node, e in key for t in self.ends[node] if e <= self.terms[t].edits)
-            self.final.append(hits[0][::-1] if hits else None)
-            stems = [h for h in hits if self.terms[h[1]].stem]
+            whole, stems = ([h for h in hits if self.terms[h[1]].stem == kind] for kind in (False, True))
+            self.final.append(whole[0][::-1] if whole else None)
             self.begun.append(stems[0][::-1] if stems else None)
         return self.states[key]
 
@@ -114,24 +116,25 @@ class Automaton:
         return to
 
     def match(self, word: str) -> tuple[int, int] | None:
-        """(term, edits) of the entry that the word is, misspells or begins with; the fewest edits first."""
+        """(term, edits) of the entry that the word is, misspells or begins with and goes on; the fewest edits first."""
         state, begun = self.start, None
         for c in word:
+            found = self.begun[state]
+            if found is not None and (begun is None or found[1] < begun[1]):
+                begun = found
             to = self.steps[state].get(c)
             if to is None:
                 to = self._step(state, c)
             if to == 0:
                 return begun
             state = to
-            found = self.begun[state]
-            if found is not None and (begun is None or found[1] < begun[1]):
-                begun = found
         found = self.final[state]
         return found if found is not None and (begun is None or found[1] < begun[1]) else begun
 
 
 def features(text: str, automaton: Automaton, known: dict[str, tuple[int, int] | None]) -> list[float]:
-    """FEATURES of a text: weights of its hits by kind (logarithms), hits near a word of address, distinct terms."""
+    """FEATURES of a text (logarithms): weights of its hits by kind, hits near a word of address, distinct terms, weight
+    that is not quoted in a thousand words."""
     low = text.lower()
     out = [0.0] * len(FEATURES)
     hit = False
@@ -157,10 +160,11 @@ def features(text: str, automaton: Automaton, known: dict[str, tuple[int, int] |
         near = {x for x, _ in spans[max(0, i - WINDOW) : i + WINDOW + 1]}
         told = {x for x, _ in spans[max(0, i - WINDOW) : i]}
         quoted = bool(before % 2 and before < len(marks)) or bool(told & REPORTS)
-        out[(2 if edits else 0) + quoted] += automaton.terms[term].weight
+        out[(2 if edits else 0) + quoted] += automaton.terms[term].misspelt if edits else automaton.terms[term].weight
         out[4] += bool(near & ADDRESS)
         terms.add(term)
-    return [math.log1p(x) for x in out[:5]] + [math.log1p(len(terms))]
+    out[5], out[6] = len(terms), 1000 * (out[0] + out[2]) / len(spans)
+    return [math.log1p(x) for x in out]
 
 
 def _features_udf(sent):
@@ -173,28 +177,50 @@ def _features_udf(sent):
 
 
 def learn_terms(sample: DataFrame) -> list[Term]:
-    """Words and word beginnings over-represented in the toxic rows of ``sample`` (text, y): their log-likelihood ratio
-    against the sample's share must exceed what the best of all candidates would have by chance."""
+    """Words, and beginnings of longer words, over-represented in the toxic rows of ``sample`` (text, y): their
+    log-likelihood ratio against the sample's share must exceed what the best of all candidates would have by chance."""
     total = sample.agg(F.count_if(F.col("y") == 1).alias("t"), F.count_if(F.col("y") == 0).alias("c")).first()
     toxic, clean = total["t"], total["c"]
     if not toxic or not clean:
         return []
     share = toxic / (toxic + clean)
     words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))
-    stems = F.array_distinct(F.flatten(F.transform(words, lambda w: F.array(*(F.when(F.length(w) >= n, F.substr(w, F.lit(1), F.lit(n))) for n in STEMS)))))
-    counts = sample.select("y", F.explode(stems).alias("stem")).filter("stem is not null").groupBy("stem").agg(F.sum("y").alias("t"), (F.count("*") - F.sum("y")).alias("c"))
+    whole = F.concat(F.col("w"), F.lit("$"))
+    begins = [F.when(F.length("w") > n, F.substr("w", F.lit(1), F.lit(n))) for n in STEMS]
+    each = sample.select("doc_id", "y", F.explode(words).alias("w")).select("doc_id", "y", F.explode(F.array(whole, *begins)).alias("stem"))
+    counts = each.filter("stem is not null and length(stem) > 3").distinct().groupBy("stem").agg(F.sum("y").alias("t"), (F.count("*") - F.sum("y")).alias("c"))
     t, c = F.col("t"), F.col("c")
     n = t + c
     ratio = t * F.log(t / (n * share)) + F.when(c > 0, c * F.log(c / (n * (1 - share)))).otherwise(0.0)
     rows = counts.filter((t >= 4) & (t / n > share)).withColumn("ratio", ratio).filter(F.col("ratio") > 18).orderBy(F.desc("ratio"), "stem").limit(8 * LEARNED).collect()
     chosen: list[Term] = []
     for r in rows:
-        own = r["stem"]
+        own = r["stem"].rstrip("$")
         if len(chosen) < LEARNED and not any(own.startswith(x.text) or x.text.startswith(own) for x in chosen):
-            chosen.append(Term(own, True, max(0.1, math.log((r["t"] + 0.5) / (toxic + 1)) - math.log((r["c"] + 0.5) / (clean + 1)))))
+            chosen.append(Term(own, stem=own == r["stem"]))
     return chosen
 
 
+def _hits_udf(sent):
+    @F.pandas_udf("array<string>")
+    def of(text: pd.Series) -> pd.Series:
+        automaton = Automaton(sent.value)
+        found = ([automaton.match(w) for w in set(WORD.findall((t or "").lower()))] for t in text)
+        return pd.Series([sorted({f"{h[0]}:{int(h[1] > 0)}" for h in hits if h is not None}) for hits in found])
+
+    return of
+
+
+def weigh_terms(terms: list[Term], sample: DataFrame) -> list[Term]:
+    """The terms with the log-odds that a text of ``sample`` (text, y) with one of them, or with a misspelling of it, is
+    toxic; 0.05 at least, so a form that is an ordinary word says next to nothing. Terms not met keep theirs."""
+    total = sample.agg(F.count_if(F.col("y") == 1).alias("t"), F.count_if(F.col("y") == 0).alias("c")).first()
+    sent = sample.sparkSession.sparkContext.broadcast(terms)
+    met = sample.select("y", F.explode(_hits_udf(sent)("text")).alias("hit")).groupBy("hit").agg(F.sum("y").alias("t"), F.count("*").alias("n")).collect()
+    odds = {r["hit"]: max(0.05, math.log((r["t"] + 0.5) / (total["t"] + 1)) - math.log((r["n"] - r["t"] + 0.5) / (total["c"] + 1))) for r in met}
+    return [replace(t, weight=odds.get(f"{i}:0", t.weight), misspelt=odds.get(f"{i}:1", t.misspelt)) for i, t in enumerate(terms)]
+
+
 @dataclass
 class Model:
     terms: list[Term]
@@ -228,17 +254,16 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_r
     marked = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     total = marked.agg(F.count_if(F.col("y") == 1).alias("t"), F.count_if(F.col("y") == 0).alias("c")).first()
     if not total["t"] or not total["c"]:
-        return Model(base, np.array([2.0, 0.5, 1.0, 0.2, 0.5, 0.5]), -3.0)
+        return Model(base, np.array([2.0, 0.5, 1.0, 0.2, 0.5, 0.5, 0.0]), -3.0)
     part = [marked.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows) for y in (0, 1)]
     wanted = part[0].union(part[1])
     sample = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(wanted, "doc_id").select("doc_id", "text", "y").persist()
-    learned = learn_terms(sample)
-    terms = learned + [t for t in base if not any(t.text.startswith(x.text) for x in learned)]
+    terms = weigh_terms(learn_terms(sample) + base, sample)
     sent = spark.sparkContext.broadcast(terms)
     rows = sample.select("doc_id", "y", _features_udf(sent)("text").alias("x")).orderBy("doc_id").toPandas()
     sample.unpersist()
     if not 0 < rows["y"].sum() < len(rows):
-        return Model(terms, np.array([2.0, 0.5, 1.0, 0.2, 0.5, 0.5]), -3.0)
+        return Model(terms, np.array([2.0, 0.5, 1.0, 0.2, 0.5, 0.5, 0.0]), -3.0)
     x, y = np.stack(rows["x"].to_numpy()), rows["y"].to_numpy(float)
     weights, bias = _logistic(x, y)
     bias += math.log(total["t"] / total["c"]) - math.log(y.sum() / (len(y) - y.sum()))
