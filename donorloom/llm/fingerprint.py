@@ -1,6 +1,6 @@
 """Homomorphic multiset fingerprints of texts, with Spark expressions alone.
 
-A text is the multiset of its paragraphs, each cut after stops into clauses. A clause is hashed to 126 bits; the
+A text is the multiset of its paragraphs, each cut after stops, and after 32 characters, into clauses. A clause is hashed to 126 bits; the
 fingerprint counts, for each bit, the clauses that have it set, packed as 42 numbers of three lanes of 21 bits
 and added modulo 2**62, and the number of clauses. Fingerprints of two texts therefore add up to that of both:
 order does not count, and clauses can be put in or taken out. As every bit is a random vote of a clause, the
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-CLAUSE = r"[^.,;:!?\n]*[.,;:!?\n]+ *|[^.,;:!?\n]+"
+CLAUSE = r"[^.,;:!?|\n]{0,31}[.,;:!?|\n]+ *|[^.,;:!?|\n]{1,32}"
 STEPS, LANES, WIDTH = 21, 3, 21
 _PICK = sum(1 << (WIDTH * i) for i in range(LANES))
 _MODULO = (1 << 62) - 1
