@@ -134,14 +134,14 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray] | None = None,
 
     ``declared`` is the language that the markup or the record declares (null or unknown: no evidence), ``host`` the
     address or source (null: one host of its own); the text model learns from ``lang``. ``kept`` tells whether the
-    text has a trigram and the best language's posterior reaches ``accept``; otherwise ``language`` is REJECT for texts
-    without a trigram (null, empty, no letters). Ties go to the first language by name. A table without
+    text has a letter and the best language's posterior reaches ``accept``; ``language`` is REJECT for texts without a
+    letter (null and empty ones too). Texts too short for a trigram go by the other evidence. Ties go to the first language by name. A table without
     labelled rows has every row rejected; an empty table gives an empty table. Repeated rows are judged each.
     """
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"),
         (F.col(declared) if declared else F.lit(None).cast("string")).alias("declared"),
-        (F.col(lang) if lang else F.lit(None).cast("string")).alias("lang"), *(c.alias(n) for n, c in host_levels(F.col(host) if host else F.lit(None)).items()),
+        (F.col(lang) if lang else F.lit(None).cast("string")).alias("lang"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("letters"), *(c.alias(n) for n, c in host_levels(F.col(host) if host else F.lit(None)).items()),
     )
     names, table = model or fit_text_model(rows)
     if not names:
@@ -155,6 +155,6 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray] | None = None,
     fused = F.zip_with(F.zip_with(F.transform("loglik", lambda x: x * weight), "log_prior", lambda a, b: a + b), declares, lambda a, b: a + b)
     best = scored.withColumn("fused", fused).withColumn("top", F.array_max("fused"))
     total = F.aggregate("fused", F.lit(0.0), lambda acc, x: acc + F.exp(x - F.col("top")))
-    confidence = F.when(F.col("grams") > 0, 1 / total).otherwise(0.0)
-    name = F.when(F.col("grams") > 0, F.element_at(known, F.array_position("fused", F.col("top")).cast("int"))).otherwise(F.lit(REJECT))
-    return best.select("doc_id", name.alias("language"), confidence.alias("confidence"), "grams", ((F.col("grams") > 0) & (confidence >= accept)).alias("kept"))
+    confidence = F.when(F.col("letters"), 1 / total).otherwise(0.0)
+    name = F.when(F.col("letters"), F.element_at(known, F.array_position("fused", F.col("top")).cast("int"))).otherwise(F.lit(REJECT))
+    return best.select("doc_id", name.alias("language"), confidence.alias("confidence"), "grams", (F.col("letters") & (confidence >= accept)).alias("kept"))
