@@ -20,12 +20,13 @@ from donorloom.llm.language_id import identify
 from donorloom.llm.mixing import mix
 from donorloom.llm.ngram_join import ngram_jaccard_join
 from donorloom.llm.sharding import shard_by_bytes
-from donorloom.operators.shared import materialize
+from donorloom.operators.shared import materialize, ship_package
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def _rows(docs: DataFrame) -> DataFrame:
+    ship_package(docs.sparkSession)
     return docs.select(*COLUMNS)
 
 
@@ -37,12 +38,12 @@ def _once(docs: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = identify(docs).filter(~F.col("kept")).select("doc_id")
+    gone = identify(_rows(docs)).filter(~F.col("kept")).select("doc_id")
     return _rows(docs).join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    joined = ngram_jaccard_join(docs, k=5, percent=80)
+    joined = ngram_jaccard_join(_rows(docs), k=5, percent=80)
     gone = joined.filter(F.col("doc_id") != F.col("component_id")).select("doc_id")
     return _once(docs).join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
@@ -58,7 +59,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    placed = shard_by_bytes(docs, shards=16)
+    placed = shard_by_bytes(_rows(docs), shards=16)
     return placed.select("doc_id", "size", "text_crc32", "shard", "slot")
 
 

@@ -16,8 +16,11 @@ from donorloom.llm.sharding import shard_by_bytes
 from donorloom.llm.token_counts import read_vocabulary, token_counts
 from donorloom.llm.toxicity import fit_toxicity, score_toxicity
 
+from donorloom.operators.shared import ship_package
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
