@@ -15,9 +15,9 @@ EXACT_WORDS, PARTS = 20_000, 64
 
 
 def fit_budget(lengths: list[int], counts: list[int], budget: int, exact: int = EXACT_WORDS) -> list[int]:
-    """How many documents of each length to take, so that their words come as near to ``budget`` as they can from
-    below. Each length first gives its share of the budget; longest lengths fill what is left down to about
-    ``exact`` words; those are met by a subset sum over the documents still free, kept as a bit a sum."""
+    """How many documents of each length to take, so that their words come as near to ``budget`` as they can (from below,
+    if two are as near). Each length first gives its share of the budget; longest lengths fill what is left down to
+    about ``exact`` words; those are met by a subset sum over the documents still free, kept as a bit a sum."""
     words = sum(n * c for n, c in zip(lengths, counts, strict=True))
     if words == 0 or budget <= 0:
         return [0] * len(lengths)
@@ -30,19 +30,23 @@ def fit_budget(lengths: list[int], counts: list[int], budget: int, exact: int =
         more = min(counts[i] - taken[i], max(0, left - exact) // lengths[i])
         taken[i] += more
         left -= more * lengths[i]
-    reach, mask = 1, (1 << (left + 1)) - 1
+    most = 2 * left  # a sum further above is not as near as none
+    reach, mask = 1, (1 << (most + 1)) - 1
     layers: list[tuple[int, int, int]] = []
     for i in reversed(order):
         free = counts[i] - taken[i]
-        if lengths[i] > left or reach >> left & 1:
+        if lengths[i] > most or reach >> left & 1:
             break
-        free, size = min(free, left // lengths[i]), 1
+        free, size = min(free, most // lengths[i]), 1
         while free > 0:
             part = min(size, free)
             layers.append((i, part, reach))
             reach |= reach << (part * lengths[i]) & mask
             free, size = free - part, size * 2
-    at = reach.bit_length() - 1
+    below = (reach & ((1 << (left + 1)) - 1)).bit_length() - 1
+    above = reach >> (left + 1)
+    over = (above & -above).bit_length()
+    at = left + over if over and over < left - below else below
     for i, part, before in reversed(layers):
         if not before >> at & 1:
             taken[i] += part
