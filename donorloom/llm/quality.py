@@ -154,7 +154,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_
         labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     )
-    rows = docs.select("doc_id", "text").join(wanted, "doc_id").select("doc_id", "y", _stats_udf()("text").alias("x")).orderBy("doc_id").toPandas()
+    rows = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id")  # at most fit_rows ids
+    rows = rows.select("doc_id", "y", _stats_udf()("text").alias("x")).orderBy("doc_id").toPandas()
     if not len(rows):
         return fit(np.zeros((0, len(FEATURES)), np.float32), np.zeros(0))
     return fit(np.stack(rows["x"].to_numpy()).astype(np.float32), rows["y"].to_numpy(float))
