@@ -257,7 +257,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_r
         return Model(base, np.array([2.0, 0.5, 1.0, 0.2, 0.5, 0.5, 0.0]), -3.0)
     part = [marked.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows) for y in (0, 1)]
     wanted = part[0].union(part[1])
-    sample = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(wanted, "doc_id").select("doc_id", "text", "y").persist()
+    # at most twice fit_rows ids
+    sample = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(wanted), "doc_id").select("doc_id", "text", "y").persist()
     terms = weigh_terms(learn_terms(sample) + base, sample)
     sent = spark.sparkContext.broadcast(terms)
     rows = sample.select("doc_id", "y", _features_udf(sent)("text").alias("x")).orderBy("doc_id").toPandas()
