@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from donorloom.llm.decontaminate import drop_leaks
+from donorloom.llm.decontaminate import find_leaks
 from donorloom.llm.language_id import identify
 from donorloom.llm.mixing import mix
 from donorloom.llm.ngram_join import ngram_jaccard_join
@@ -37,25 +37,29 @@ def _once(docs: DataFrame) -> DataFrame:
     return _rows(docs).dropDuplicates(["doc_id"])
 
 
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` less some ids. The ids are written first, so their size is known when the join is planned: texts
+    move only where the ids are too many to be sent."""
+    return docs.join(materialize(gone.select("doc_id").distinct(), "gone"), "doc_id", "left_anti").select(*COLUMNS)
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = identify(_rows(docs)).filter(~F.col("kept")).select("doc_id")
-    return _rows(docs).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    return _without(_rows(docs), identify(_rows(docs)).filter(~F.col("kept")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     joined = ngram_jaccard_join(_rows(docs), k=5, percent=80)
-    gone = joined.filter(F.col("doc_id") != F.col("component_id")).select("doc_id")
-    return _once(docs).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    return _without(_once(docs), joined.filter(F.col("doc_id") != F.col("component_id")))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_leaks(_rows(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
+    return _without(_rows(docs), find_leaks(_rows(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), coverage=0.5, seed=5))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = _once(docs)
-    copies = mix(docs, weights=(5, 2, 1), percent=150, repeats=2).filter("copies > 0").select("doc_id", "copies")
-    return docs.join(copies, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*COLUMNS)
+    copies = mix(docs, weights=(5, 2, 1), percent=150, repeats=2).filter("copies > 0").select(F.col("doc_id").alias("taken_id"), "copies")
+    return docs.join(copies, F.col("doc_id").eqNullSafe(F.col("taken_id"))).withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*COLUMNS)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
