@@ -7,7 +7,8 @@
 5. sharding: every row gets its shard and its place in it.
 
 Every stage gives back the columns of documents, the last one adds ``shard``, ``slot`` and ``size``. Texts are whole; null
-texts have no language and go with the first stage. From stage 2 on, rows of one id are one document. An empty table gives an empty table.
+texts have no language and go with the first stage. Decisions are on rows, told apart by a 64-bit hash of id and text: null ids
+and ids of several texts are documents each. From stage 2 on, rows equal in id and text are one. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from donorloom.llm.decontaminate import find_leaks
 from donorloom.llm.language_id import identify
 from donorloom.llm.mixing import mix
-from donorloom.llm.ngram_join import ngram_jaccard_join
+from donorloom.llm.ngram_join import linked_rows, row_key
 from donorloom.llm.sharding import shard_by_bytes
 from donorloom.operators.shared import materialize, ship_package
 
@@ -30,36 +31,43 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(*COLUMNS)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    return _rows(docs).withColumn("row", row_key("doc_id", "text"))
+
+
 def _once(docs: DataFrame) -> DataFrame:
-    """One row of each id, where a table repeats any."""
-    if docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
+    """One row of those equal in id and text, where a table repeats any: the least of their other columns, so that reruns agree."""
+    if _keyed(docs).groupBy("row").count().filter("count > 1").isEmpty():
         return _rows(docs)
-    return _rows(docs).dropDuplicates(["doc_id"])
+    others = [c for c in COLUMNS if c not in ("doc_id", "text")]
+    return _rows(docs).groupBy("doc_id", "text").agg(F.min(F.struct(*others)).alias("least")).select("doc_id", "text", "least.*").select(*COLUMNS)
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` less some ids. The ids are written first, so their size is known when the join is planned: texts
-    move only where the ids are too many to be sent."""
-    return docs.join(materialize(gone.select("doc_id").distinct(), "gone"), "doc_id", "left_anti").select(*COLUMNS)
+    """``docs`` less the rows of some keys ``row``. The keys are written first, so their size is known when the join is
+    planned: texts move only where the keys are too many to be sent."""
+    return _keyed(docs).join(materialize(gone.select("row").distinct(), "gone"), "row", "left_anti").select(*COLUMNS)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(_rows(docs), identify(_rows(docs)).filter(~F.col("kept")))
+    judged = identify(_keyed(docs), id_col="row")
+    return _without(docs, judged.filter(~F.col("kept")).select(F.col("doc_id").alias("row")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    joined = ngram_jaccard_join(_rows(docs), k=5, percent=80)
-    return _without(_once(docs), joined.filter(F.col("doc_id") != F.col("component_id")))
+    joined = linked_rows(_rows(docs), k=5, percent=80)
+    return _without(_once(docs), joined.filter(F.col("row") != F.col("stays")))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(_rows(docs), find_leaks(_rows(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), coverage=0.5, seed=5))
+    leaks = find_leaks(_keyed(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), coverage=0.5, seed=5, id_col="row")
+    return _without(docs, leaks.select(F.col("doc_id").alias("row")))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs = _once(docs)
-    copies = mix(docs, weights=(5, 2, 1), percent=150, repeats=2).filter("copies > 0").select(F.col("doc_id").alias("taken_id"), "copies")
-    return docs.join(copies, F.col("doc_id").eqNullSafe(F.col("taken_id"))).withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*COLUMNS)
+    docs = _keyed(_once(docs))
+    copies = mix(docs, weights=(5, 2, 1), percent=150, repeats=2, id_col="row").filter("copies > 0").select(F.col("doc_id").alias("row"), "copies")
+    return docs.join(copies, "row").withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*COLUMNS)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

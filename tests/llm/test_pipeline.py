@@ -1,7 +1,10 @@
 import re
+import zlib
 from collections import Counter
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from donorloom.llm import language_id
 from test_ngram_join import brute
 
@@ -59,3 +62,24 @@ def test_pages_can_be_identified(spark, sf):
     )
     got = language_id.identify(pages).join(pages.select("doc_id", "lang"), "doc_id").collect()
     assert sum(r["language"] == r["lang"] for r in got) >= 0.95 * len(got)
+
+
+def test_rows_of_null_and_repeated_ids_are_documents(spark, sf):
+    """Each stage decides on rows: a row that goes takes no other of its id with it, and none is lost to a null id."""
+    docs, stages = spark.read.parquet(f"{sf}/documents.parquet"), dict(corpus_pipeline.STAGES)
+    word = lambda seed, n=40, *new: " ".join(f"new{seed}x{i}" if i in new else f"w{seed}x{i}" for i in range(n))
+    make = lambda rows: spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], docs.schema)
+    rows = lambda df: Counter((r["doc_id"], r["text"]) for r in df.collect())
+    own = [(None, word(1), "a"), (None, word(2), "a"), (7, word(3), "b"), (7, word(4), "b"), (8, word(5), "a")]
+    assert rows(stages["language_id"](spark, make([*own, (7, "12 34", "b"), (None, "- - -", "a"), (8, "", "a")]), sf)) == Counter((i, t) for i, t, _ in own)
+    near = [(None, word(3, 40, 39), "a"), (9, word(1, 40, 39), "a"), (6, word(6), "a"), (6, word(6, 40, 39), "a"), *own[:2], (8, word(5), "b")]
+    single = rows(stages["ngram_jaccard_join"](spark, make([*own, *near]), sf))
+    sixes = Counter({x: n for x, n in single.items() if x[0] == 6})
+    assert single - sixes == Counter([(None, word(2)), (7, word(3)), (7, word(4)), (8, word(5)), (9, word(1, 40, 39))]) and sum(sixes.values()) == 1
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").first()["text"]
+    assert rows(stages["decontamination"](spark, make([*own, (7, item, "b"), (None, item, "a")]), sf)) == Counter((i, t) for i, t, _ in own)
+    mixed = stages["mixing"](spark, make([*own, (8, word(5), "a")]), sf)
+    taken = rows(mixed)
+    assert sum(taken.values()) in (7, 8) and max(taken.values()) <= 2 and set(taken) <= {(i, t) for i, t, _ in own}
+    assert taken == rows(stages["mixing"](spark, make([(8, word(5), "a"), *own[::-1]]).repartition(3), sf))
+    assert rows(stages["sharding"](spark, mixed, sf).select("doc_id", F.col("text_crc32").cast("string").alias("text"))) == Counter({(i, str(zlib.crc32(t.encode()))): n for (i, t), n in taken.items()})
