@@ -49,12 +49,13 @@ def norm_ein(c: Column) -> Column:
     return F.when(F.length(digits) < 9, F.lpad(digits, 9, "0")).otherwise(digits)
 
 
-_NUMBER = r"^\s*[+-]?([0-9]+(_?[0-9]+)*\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+_DIGITS = "[0-9]+(?:_[0-9]+)*"
+_NUMBER = rf"^\s*[+-]?({_DIGITS}(\.({_DIGITS})?)?|\.{_DIGITS})([eE][+-]?{_DIGITS})?\s*$"
 
 
 def parse_amount(c: Column) -> Column:
-    """A plain decimal number as double; anything else, null and blank is 0."""
-    return F.when(c.rlike(_NUMBER), F.coalesce(strip(c).try_cast("double"), F.lit(0.0))).otherwise(0.0)
+    """A plain decimal number as double, single underscores between digits left out; anything else, null and blank is 0."""
+    return F.when(c.rlike(_NUMBER), F.coalesce(F.replace(strip(c), F.lit("_"), F.lit("")).try_cast("double"), F.lit(0.0))).otherwise(0.0)
 
 
 def parse_dollar(c: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from donorloom.operators.shared import materialize
+from donorloom.operators.shared import discard, materialize
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -31,8 +31,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     """``(node, component)`` for every node that has a link; ``component`` is the least node reachable.
 
     Null ends and self-links are ignored; repeated links count once; no links give an empty table.
-    Each round is written to the shared folder, so lineage never grows and nothing reaches the driver
-    but a count and a checksum. Raises if ``max_rounds`` is not enough.
+    Each round is written to the shared folder and the one before it deleted, so lineage and disk do not grow and nothing
+    reaches the driver but a count and a checksum. Raises if ``max_rounds`` is not enough.
     """
     now = materialize(
         edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
@@ -43,7 +43,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     )
     mark = None
     for _ in range(max_rounds):
-        now = materialize(_small_star(_large_star(now)), "stars")
+        before, now = now, materialize(_small_star(_large_star(now)), "stars")
+        discard(before)
         row = now.agg(
             F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")
         ).first()

@@ -22,7 +22,7 @@ def columns(spark):
 
 def test_eins_amounts_dollars(spark):
     assert apply(spark, ["52-1304889", "30457299", None, "1234567890"], C.norm_ein(a)) == ["521304889", "030457299", "000000000", "1234567890"]
-    assert apply(spark, ["1200", " 3.5 ", "-2", "12d", "x", "", None, "nan", "1e3", ".5"], C.parse_amount(a)) == [1200.0, 3.5, -2.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1000.0, 0.5]
+    assert apply(spark, ["1200", " 3.5 ", "-2", "12d", "x", "", None, "nan", "1e3", ".5", "1_000", "1__0", "_1"], C.parse_amount(a)) == [1200.0, 3.5, -2.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1000.0, 0.5, 1000.0, 0.0, 0.0]
     assert apply(spark, ["$1,200", "(50)", "x", "", None, "($1,000.50)"], C.parse_dollar(a)) == [1200.0, 50.0, 0.0, 0.0, 0.0, 1000.5]
 
 

@@ -52,6 +52,18 @@ def test_components_equal_search(spark):
         assert got == {i: root(i) for i in parent}
 
 
+def test_tables_between_steps_can_be_deleted(spark):
+    from pathlib import Path
+
+    from donorloom.operators import shared
+
+    tables = [shared.materialize(spark.range(3), "kept") for _ in range(2)]
+    assert all(Path(t._table.removeprefix("file:")).exists() and t.count() == 3 for t in tables)
+    shared.discard(tables[0])
+    assert not Path(tables[0]._table.removeprefix("file:")).exists() and tables[1].count() == 3
+    assert shared.sweep(spark) >= 1 and not Path(tables[1]._table.removeprefix("file:")).exists() and shared.sweep(spark) == 0
+
+
 def names_of(spark, names):
     return spark.createDataFrame([(n,) for n in names], "canonical string")
 
