@@ -4,6 +4,8 @@ Documents and test items are token sequences (lower-cased letters and digits). T
 ``seed`` tokens are joined; for each such pair the longest runs that neither side has used yet are found by
 running Karp-Rabin and marked, again and again, so a passage whose parts were put in another order is
 still covered. An item leaks into a document when its tiles cover ``coverage`` of the item.
+
+Rows and items are told apart by keys that are never null, so both ways of joining give the same rows.
 """
 
 from __future__ import annotations
@@ -17,13 +19,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from donorloom.llm import text as X
+from donorloom.llm.rows import row_key, spread_join
+from donorloom.operators.shared import materialize
 
 #: The items are sent to every executor only up to so many tokens (8 bytes each, twice); else they are joined.
 SENT_TOKENS = 1 << 20
+#: Bits of the sieve of item seeds that documents are held against before a join (8 MB), and those one task makes.
+SIEVE_BITS, SIEVE_PART = 26, 20
 _MOD, _RADIX = (1 << 61) - 1, 1_000_003
 
 _FOUND = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("item_tokens", pa.int32()), ("matched", pa.int32()), ("tiles", pa.int32())])
-_RUNS = pa.schema([("doc_id", pa.int64()), ("doc_row", pa.int64()), ("seed", pa.int64()), ("tokens", pa.binary())])
+_ITEM_SEEDS = pa.schema([("item", pa.int64()), ("seed", pa.int64()), ("size", pa.int32())])
+_SEEDS = pa.schema([("row", pa.int64()), ("seed", pa.int64())])
 _DDL = "doc_id bigint, item_id bigint, item_tokens int, matched int, tiles int"
 
 
@@ -56,9 +63,10 @@ def tile(a: list[int], b: list[int], least: int) -> list[tuple[int, int, int]]:
             size = longest
             continue
         for i, j, n in found:
-            if not (any(used_a[i : i + n]) or any(used_b[j : j + n])):
-                used_a[i : i + n] = used_b[j : j + n] = [True] * n
-                tiles.append((i, j, n))
+            if any(used_a[i : i + n]) or any(used_b[j : j + n]):
+                break  # what is left of it may still be longer than the next
+            used_a[i : i + n] = used_b[j : j + n] = [True] * n
+            tiles.append((i, j, n))
         if found:
             continue
         if size <= least:
@@ -157,8 +165,6 @@ def _tiled(sent, least_coverage: float):
                 found = X.words(piece, X.NOT_ALNUM)
                 for (i, o), hits in items.hits(found).items():
                     item_id, item = items.items[o]
-                    if len(set(hits)) + min(items.seed, len(item)) - 1 < 1:
-                        continue
                     tokens = found.hashes[found.bounds[i] : found.bounds[i + 1]]
                     matched, tiles = _matched(tokens, np.array(hits), item, items.seed)
                     if matched >= least_coverage * len(item):
@@ -180,8 +186,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5, see
     ``seed`` tokens or more cover at least ``coverage`` of the item's tokens.
 
     Items of fewer tokens than ``seed`` must appear whole. Null and empty texts and items match nothing. Rows of
-    equal id are documents of their own. The items go to all executors while they have at most ``sent_tokens``
-    tokens; above that, documents and items are joined on their seeds.
+    equal or null id are documents of their own, and items likewise: each pair of rows has its row. The items go to all
+    executors while they have at most ``sent_tokens`` tokens; above that, documents and items are joined on their seeds.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text"))
@@ -194,26 +200,53 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5, see
     return found.withColumn("coverage", F.col("matched") / F.col("item_tokens"))
 
 
+def _sieve(seeds: DataFrame) -> np.ndarray:
+    """A bit for the first SIEVE_BITS bits of each seed: a fixed 8 MB, whatever the items."""
+    slot = F.shiftrightunsigned("seed", 64 - SIEVE_BITS)
+
+    def part(pdf):
+        bits = np.zeros(1 << SIEVE_PART, bool)
+        bits[pdf["slot"].to_numpy() & ((1 << SIEVE_PART) - 1)] = True
+        return pdf.head(1).assign(bits=[np.packbits(bits, bitorder="little").tobytes()])[["part", "bits"]]
+
+    parts = seeds.select(slot.alias("slot")).distinct().withColumn("part", F.shiftright("slot", SIEVE_PART))
+    whole = np.zeros((1 << (SIEVE_BITS - SIEVE_PART), 1 << (SIEVE_PART - 3)), np.uint8)
+    for r in parts.groupBy("part").applyInPandas(part, "part long, bits binary").toLocalIterator():
+        whole[r["part"]] = np.frombuffer(r["bits"], np.uint8)
+    return whole.ravel()
+
+
 def _joined(texts: DataFrame, items: DataFrame, seed: int, coverage: float) -> DataFrame:
-    """The same when the items are too many to send: seeds are joined, then each document meets its items."""
-    item_schema = pa.schema([("item_id", pa.int64()), ("seed", pa.int64()), ("tokens", pa.binary())])
+    """The same when the items are too many to send: seeds are joined, then each document meets its items. Documents give
+    out only seeds of the lengths that items have, and only those that the sieve lets through; hot seeds, items and
+    rows are dealt out."""
+    texts = texts.withColumn("row", row_key("doc_id", "text"))
+    items = items.withColumn("item", row_key("item_id", "text"))
 
     def item_seeds(batches):
         for b in batches:
-            out = [(b.column(0)[i].as_py(), s, t.tobytes()) for i, t in token_hashes(b.column(1)) for s in set(X.signed(seeds_of(t, seed)).tolist())]
+            out = [(b.column(0)[i].as_py(), s, min(seed, len(t))) for i, t in token_hashes(b.column(1)) for s in set(X.signed(seeds_of(t, seed)).tolist())]
             if out:
-                yield X.batch(item_schema, list(zip(*out, strict=True)))
+                yield X.batch(_ITEM_SEEDS, list(zip(*out, strict=True)))
+
+    keyed = materialize(items.select("item", "text").mapInArrow(item_seeds, "item bigint, seed bigint, size int").distinct(), "item-seeds")
+    sizes = sorted(r["size"] for r in keyed.select("size").distinct().collect())  # at most ``seed`` numbers
+    sieve = texts.sparkSession.sparkContext.broadcast(_sieve(keyed))
 
     def doc_seeds(batches):
-        for n, b in enumerate(batches):
+        for b in batches:
             for i, t in token_hashes(b.column(1)):
-                own = np.unique(np.concatenate([seeds_of(t[: len(t)], k) for k in range(1, seed + 1)])) if len(t) else t
+                own = [seeds_of(t, k) for k in sizes if len(t) >= k]
+                own = np.unique(np.concatenate(own)) if own else t[:0]
+                slot = (own >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)
+                own = own[(sieve.value[slot >> 3] >> (slot & 7)) & 1 == 1]
                 if len(own):
-                    yield X.batch(pa.schema([("doc_id", pa.int64()), ("seed", pa.int64())]), [np.full(len(own), b.column(0)[i].as_py() or 0), X.signed(own)])
+                    yield X.batch(_SEEDS, [np.full(len(own), b.column(0)[i].as_py()), X.signed(own)])
 
-    keyed = items.mapInArrow(item_seeds, "item_id bigint, seed bigint, tokens binary")
-    pairs = texts.mapInArrow(doc_seeds, "doc_id bigint, seed bigint").join(keyed.select("item_id", "seed"), "seed").select("doc_id", "item_id").distinct()
-    met = pairs.join(items.withColumnRenamed("text", "item_text"), "item_id").join(texts, "doc_id")
+    mine = materialize(texts.select("row", "text").mapInArrow(doc_seeds, "row bigint, seed bigint"), "doc-seeds")
+    pairs = materialize(spread_join(mine, keyed.select("item", "seed"), ["seed"]).select("row", "item").distinct(), "pairs")
+    met = materialize(spread_join(pairs, items.withColumnRenamed("text", "item_text"), ["item"]), "met")
+    met = spread_join(texts, met, ["row"])
 
     def tiled(batches):
         for b in batches:
@@ -233,6 +266,9 @@ def _joined(texts: DataFrame, items: DataFrame, seed: int, coverage: float) -> D
     return met.select("doc_id", "item_id", "item_text", "text").mapInArrow(tiled, _DDL)
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5, seed: int = 5) -> DataFrame:
-    """``docs`` without the documents that an item leaks into."""
-    return docs.join(find_leaks(docs, benchmark, coverage, seed).select("doc_id").distinct(), "doc_id", "left_anti")
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5, seed: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows that an item leaks into. A row goes by its own text: others of its id, or of null id, stay.
+    The keys of those that go are written first, so texts move only where the keys are too many to be sent."""
+    keyed = docs.withColumn("_row", row_key(F.col(id_col).cast("long"), F.col(text_col)))
+    leaks = find_leaks(keyed, benchmark, coverage, seed, id_col="_row", text_col=text_col)
+    return keyed.join(materialize(leaks.select(F.col("doc_id").alias("_row")).distinct(), "leaks"), "_row", "left_anti").drop("_row")

@@ -2,12 +2,14 @@ import hashlib
 import itertools
 import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from donorloom.llm import chat, decontaminate, fingerprint, language_id, quality, token_counts, toxicity
+from donorloom.llm import chat, decontaminate, fingerprint, language_id, quality, rows, token_counts, toxicity
 from donorloom.llm import text as X
 
 
@@ -108,7 +110,7 @@ def test_tiling_covers_reordered_parts():
             used_x |= set(range(best[0], best[0] + best[2]))
             used_y |= set(range(best[1], best[1] + best[2]))
         got = decontaminate.tile(x, y, 3)
-        assert got[0][2] == want[0] if want else not got
+        assert [n for _, _, n in got] == want
         for side in (0, 1):
             spots = [p for t in got for p in range(t[side], t[side] + t[2])]
             assert len(spots) == len(set(spots))
@@ -130,6 +132,56 @@ def test_leaks(spark):
     assert sorted(r["doc_id"] for r in decontaminate.drop_leaks(docs(spark, rows), bench).collect()) == [3, 4, 5, 6]
 
 
+def plain_leaks(docs, items, coverage, seed):
+    """Leaking pairs by greedy tiling in its plainest form, on all pairs of rows."""
+    tokens = lambda t: re.sub(r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", " ", (t or "").lower()).split()
+    out = []
+    for d, text in docs:
+        for i, item in items:
+            x, y = tokens(item), tokens(text)
+            if not x:
+                continue
+            least, used_x, used_y, n_tiles = min(seed, len(x)), set(), set(), 0
+            while True:
+                best = (0, 0, 0)
+                for a in range(len(x)):
+                    for b in range(len(y)):
+                        n = 0
+                        while a + n < len(x) and b + n < len(y) and x[a + n] == y[b + n] and a + n not in used_x and b + n not in used_y:
+                            n += 1
+                        if n > best[2]:
+                            best = (a, b, n)
+                if best[2] < least:
+                    break
+                used_x |= set(range(best[0], best[0] + best[2]))
+                used_y |= set(range(best[1], best[1] + best[2]))
+                n_tiles += 1
+            if used_x and len(used_x) >= coverage * len(x):
+                out.append((d, i, len(x), len(used_x), n_tiles))
+    return Counter(out)
+
+
+def test_both_ways_of_joining_equal_plain_tiling(spark, monkeypatch):
+    """Null and repeated ids and items, short and hot items, a long text, clashing columns."""
+    monkeypatch.setattr(rows, "KEY_ROWS", 3)
+    rng = random.Random(9)
+    word = lambda n: [rng.choice(["red", "Blue", "tin", "OAK", "fog", "é", "x1", "sun"]) for _ in range(n)]
+    items = [(i, " ".join(word(rng.randint(6, 14)))) for i in range(5)] + [(None, " ".join(word(8))), (2, "tin, oak!"), (7, "FOG"), (8, ""), (9, None)]
+    items += [items[0], items[5]]
+    docs_ = []
+    for i in range(40):
+        parts = rng.choice(items)[1] or "none"
+        cut = len(parts) // 2
+        docs_.append((rng.choice([i, i, None, 3]), " ".join(word(rng.randint(0, 12))) + " - " + parts[cut:] + " / " + parts[:cut]))
+    docs_ += [(50, None), (51, ""), (52, "; "), (53, " ".join(word(2000)))] + [docs_[0]] * 5
+    bench = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, doc_id int")
+    want = plain_leaks(docs_[:-6], items, 0.5, 3) + Counter({k: 5 * n for k, n in plain_leaks(docs_[-1:], items, 0.5, 3).items()})
+    long = plain_leaks(docs_[-6:-5], items, 0.5, 3)
+    for sent in (1 << 20, 0):
+        got = decontaminate.find_leaks(docs(spark, docs_).repartition(3), bench, 0.5, 3, sent_tokens=sent).collect()
+        assert Counter((r["doc_id"], r["item_id"], r["item_tokens"], r["matched"], r["tiles"]) for r in got) == want + long, sent
+
+
 # token counts
 
 
