@@ -1,10 +1,11 @@
 """Homomorphic multiset fingerprints of texts, with Spark expressions alone.
 
-A text is the multiset of its paragraphs, each cut after stops, and after 32 characters, into clauses. A clause is hashed to 126 bits; the
-fingerprint counts, for each bit, the clauses that have it set, packed as 42 numbers of three lanes of 21 bits
-and added modulo 2**62, and the number of clauses. Fingerprints of two texts therefore add up to that of both:
-order does not count, and clauses can be put in or taken out. As every bit is a random vote of a clause, the
-cosine of two fingerprints, votes counted as +1 and -1, estimates how much of the texts agrees.
+A text is the multiset of its paragraphs (lines), a paragraph that of its clauses: pieces that end after stops, or after 32
+characters. A clause is hashed to 124 bits; the vector of a paragraph counts, for each bit, the clauses that have it set,
+packed as 62 numbers of two lanes of 31 bits. Vectors are added modulo 2**62, so that of a text is the sum of its
+paragraphs', order does not count, and paragraphs can be put in or taken out. A text has fewer than 2**31 clauses, whatever
+its length, so no lane of it overflows. As every bit is a random vote of a clause, the cosine of two vectors, votes counted
+as +1 and -1, estimates how much of the texts agrees.
 """
 
 from __future__ import annotations
@@ -13,52 +14,77 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-CLAUSE = r"[^.,;:!?|\n]{0,31}[.,;:!?|\n]+ *|[^.,;:!?|\n]{1,32}"
-STEPS, LANES, WIDTH = 21, 3, 21
-_PICK = sum(1 << (WIDTH * i) for i in range(LANES))
-_MODULO = (1 << 62) - 1
-#: Rows that a bucket of neighbours should have, and the most buckets.
-BUCKET_ROWS, BUCKETS = 2000, 1024
+from donorloom.operators.shared import materialize
+
+CLAUSE = r"[^.,;:!?|]{0,31}[.,;:!?|]+ *|[^.,;:!?|]{1,32}"
+STEPS, WIDTH = 31, 31
+_PICK = 1 | (1 << WIDTH)
+_MODULO = (1 << (2 * WIDTH)) - 1
+_LANE = (1 << WIDTH) - 1
+#: Rows that a bucket of neighbours should have, and the buckets that one is cut into at a time.
+BUCKET_ROWS, FAN = 2000, 1024
+
+
+def _hashes(clause: Column) -> tuple[Column, Column]:
+    return F.xxhash64(clause), F.xxhash64(F.lit(1), clause)
+
+
+def _lane(x: Column, j: int) -> Column:
+    return F.shiftrightunsigned(x, j).bitwiseAND(F.lit(_PICK))
 
 
 def vector(text: Column) -> Column:
-    """``array<bigint>``: the number of clauses, then the packed counts. Null is as empty."""
-    clauses = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(CLAUSE), F.lit(0))
-    hashes = F.transform(clauses, lambda c: F.struct(F.xxhash64(c).alias("x"), F.xxhash64(F.lit(1), c).alias("y")))
+    """``array<bigint>`` of one text: clauses, line breaks, then the packed counts. Null is as empty. For single values; tables
+    go through ``vectors``, which gives the same."""
+    lines = F.split(F.coalesce(text, F.lit("")), "\n")
+    clauses = F.flatten(F.transform(lines, lambda line: F.regexp_extract_all(line, F.lit(CLAUSE), F.lit(0))))
+    hashes = F.transform(clauses, lambda c: F.struct(*(h.alias(n) for h, n in zip(_hashes(c), "xy", strict=True))))
 
     def packed(h: Column) -> Column:
-        def lane(part: str, j: int) -> Column:
-            return F.aggregate(h, F.lit(0).cast("long"), lambda acc, v: (acc + F.shiftrightunsigned(v[part], j).bitwiseAND(F.lit(_PICK))).bitwiseAND(F.lit(_MODULO)))
+        def summed(p: str, j: int) -> Column:
+            return F.aggregate(h, F.lit(0).cast("long"), lambda acc, v: acc + _lane(v[p], j))
 
-        return F.array(F.size(h).cast("long"), *(lane(part, j) for part in "xy" for j in range(STEPS)))
+        return F.array(F.size(h).cast("long"), (F.size(lines) - 1).cast("long"), *(summed(p, j) for p in "xy" for j in range(STEPS)))
 
     return F.element_at(F.transform(F.array(hashes), packed), 1)
 
 
+def vectors(rows: DataFrame, text_col: str = "text", name: str = "print") -> DataFrame:
+    """The other columns of ``rows``, which must tell the rows apart, and the vector of each text: clauses are rows, added up
+    in one aggregation. Where ``rows`` are partitioned by some of these columns, nothing moves."""
+    keys = [c for c in rows.columns if c != text_col]
+    lines = rows.select(*keys, F.explode(F.split(F.coalesce(text_col, F.lit("")), "\n")).alias("_line"))
+    each = lines.select(*keys, F.posexplode_outer(F.regexp_extract_all("_line", F.lit(CLAUSE), F.lit(0))).alias("_i", "_c"))
+    x, y = (F.when(F.col("_c").isNull(), F.lit(0).cast("long")).otherwise(h) for h in _hashes(F.col("_c")))
+    each = each.select(*keys, F.col("_c").isNotNull().cast("int").alias("_n"), (F.coalesce("_i", F.lit(0)) == 0).cast("int").alias("_first"), x.alias("_x"), y.alias("_y"))
+    sums = {f"_{p}{j}": F.sum(_lane(F.col(f"_{p}"), j)) for p in "xy" for j in range(STEPS)}
+    summed = each.groupBy(*keys).agg(F.sum("_n").alias("_clauses"), (F.sum("_first") - 1).alias("_breaks"), *(s.alias(n) for n, s in sums.items()))
+    return summed.select(*keys, F.array("_clauses", "_breaks", *sums).alias(name))
+
+
 def add(a: Column, b: Column) -> Column:
-    """Fingerprint of the texts of both."""
+    """Fingerprint of the texts of both, one after the other; the first one ends with its line."""
     return F.zip_with(a, b, lambda x, y: (x + y).bitwiseAND(F.lit(_MODULO)))
 
 
 def remove(a: Column, b: Column) -> Column:
-    """Fingerprint of ``a`` without the clauses of ``b``."""
+    """Fingerprint of ``a`` without the paragraphs of ``b``."""
     return F.zip_with(a, b, lambda x, y: (x - y).bitwiseAND(F.lit(_MODULO)))
 
 
 def printed(v: Column) -> Column:
-    """Fingerprint as hexadecimal digits, 16 a number."""
-    return F.array_join(F.transform(v, lambda x: F.lpad(F.hex(x), 16, "0")), "")
+    """Fingerprint as hexadecimal numbers with dots between."""
+    return F.array_join(F.transform(v, lambda x: F.hex(x)), ".")
 
 
 def votes(v: Column) -> Column:
-    """Bits set less bits not set, for each of the 126 bits."""
-    counts = F.slice(v, 2, 2 * STEPS)
+    """Bits set less bits not set, for each of the 124 bits."""
+    counts = F.slice(v, 3, 2 * STEPS)
 
     def lane(shift: int) -> Column:
-        return F.transform(counts, lambda x: F.shiftright(x, shift).bitwiseAND(F.lit((1 << WIDTH) - 1)))
+        return F.transform(counts, lambda x: F.shiftright(x, shift).bitwiseAND(F.lit(_LANE)))
 
-    lanes = [lane(WIDTH * i) for i in range(LANES)]
-    return F.transform(F.concat(*lanes), lambda c: (2 * c - F.element_at(v, 1)).cast("double"))
+    return F.transform(F.concat(lane(0), lane(WIDTH)), lambda c: (2 * c - F.element_at(v, 1)).cast("double"))
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -66,64 +92,100 @@ def _dot(a: Column, b: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """0 to 1: 1 for equal fingerprints, otherwise the cosine of their votes, 0 at least."""
-
-    def of(u: Column) -> Column:
-        size = F.sqrt(_dot(u["p"], u["p"]) * _dot(u["q"], u["q"]))
-        return F.when(size == 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), _dot(u["p"], u["q"]) / size)))
-
-    both = F.array(F.struct(votes(a).alias("p"), votes(b).alias("q")))
-    return F.when(a == b, F.lit(1.0)).otherwise(F.element_at(F.transform(both, of), 1))
+    """0 to 1, of structs of a fingerprint ``print``, its ``votes`` and their squared ``norm``: 1 for equal fingerprints,
+    otherwise the cosine of the votes, 0 at least."""
+    size = F.sqrt(a["norm"] * b["norm"])
+    cosine = F.greatest(F.lit(0.0), F.least(F.lit(1.0), _dot(a["votes"], b["votes"]) / size))
+    return F.when(a["print"] == b["print"], F.lit(1.0)).when(size == 0, F.lit(0.0)).otherwise(cosine)
+
+
+def _place(cuts: Column, value: Column) -> Column:
+    """How many of the sorted ``cuts`` are ``value`` or less, by binary search."""
+    steps = [1 << i for i in reversed(range(FAN.bit_length()))]
+    return F.aggregate(F.lit(steps), F.lit(0), lambda at, s: F.when(F.get(cuts, at + s - 1) <= value, at + s).otherwise(at))
+
+
+def _dealt(rows: DataFrame, keys: list[str], levels: list[DataFrame]) -> DataFrame:
+    """``rows`` with ``_bucket``, by the cuts of each level in turn."""
+    rows = rows.withColumns({"_bucket": F.lit(0).cast("long"), "_salt": F.monotonically_increasing_id()})
+    for cuts in levels:
+        value = F.element_at(F.array(*keys, "_salt"), F.col("_by") + 1)
+        rows = rows.join(cuts, "_bucket", "left").withColumn("_bucket", F.col("_bucket") * FAN + F.coalesce(_place(F.col("_cuts"), value), F.lit(0))).drop("_by", "_cuts")
+    return rows.drop("_salt")
+
+
+def _levels(slim: DataFrame, keys: list[str]) -> list[DataFrame]:
+    """Cuts of buckets, until none has more than twice BUCKET_ROWS rows: quantiles of the first key that differs in the
+    bucket; rows equal in all keys are dealt out by their place. The number of buckets follows from that of the rows."""
+    levels: list[DataFrame] = []
+    while len(levels) < 6:  # the buckets of six levels fill 60 bits
+        now = _dealt(slim, keys, levels)
+        differs = F.lit(len(keys))
+        for i in reversed(range(len(keys))):
+            differs = F.when(F.min(keys[i]) < F.max(keys[i]), i).otherwise(differs)
+        big = now.groupBy("_bucket").agg(F.count("*").alias("_n"), differs.alias("_by")).filter(F.col("_n") > 2 * BUCKET_ROWS)
+        big = materialize(big.withColumn("_parts", F.least(F.lit(FAN), F.ceil(F.col("_n") / BUCKET_ROWS)).cast("int")).drop("_n"), "buckets")
+        if big.isEmpty():
+            break
+        value = F.element_at(F.array(*keys, "_salt"), F.col("_by") + 1)
+        found = now.withColumn("_salt", F.monotonically_increasing_id()).join(big, "_bucket").groupBy("_bucket", "_by", "_parts").agg(F.percentile_approx(value, [i / FAN for i in range(1, FAN)], 10 * FAN).alias("_q"))
+        chosen = F.transform(F.sequence(F.lit(1), F.col("_parts") - 1), lambda i: F.element_at("_q", F.ceil(i * FAN / F.col("_parts")).cast("int")))
+        levels.append(materialize(found.select("_bucket", "_by", F.array_distinct(chosen).alias("_cuts")), "cuts"))
+    return levels
+
+
+def _in_order(rows: DataFrame, id_col: str, tie: str) -> DataFrame:
+    """``rows`` with ``_bucket`` and ``_place`` in order of id (``_at``), then of a hash of ``tie`` (``_tie``); the row after a bucket's last one
+    (the first row of all after the very last) is in the bucket as well, as a ``_guest``. Null is the least id."""
+    keys = ["_at", "_tie"]
+    rows = rows.withColumns({"_at": F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), "_tie": F.shiftrightunsigned(F.xxhash64(tie), 1)})
+    slim = materialize(rows.select(*keys), "keys")
+    levels = _levels(slim, keys)
+    least = materialize(_dealt(slim, keys, levels).groupBy("_bucket").agg(F.min(F.struct(*keys)).alias("_least")).select("_bucket", "_least.*"), "heads")
+    first = least.groupBy(F.floor(F.col("_bucket") / FAN).alias("_group")).agg(F.max("_bucket").alias("_last"))
+    in_group = W.partitionBy("_group").orderBy("_bucket")
+    everything = W.orderBy("_group")  # one row for up to FAN buckets of rows
+    first = first.select("_group", F.coalesce(F.lag("_last").over(everything), F.max("_last").over(everything.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("_before_group"))
+    before = least.withColumn("_group", F.floor(F.col("_bucket") / FAN)).withColumn("_before", F.lag("_bucket").over(in_group)).join(first, "_group")
+    heads = before.select(F.coalesce("_before", "_before_group").alias("_bucket"), *keys)
+    one = W.partitionBy(*keys).orderBy(*keys)
+    texts = rows.join(heads.select(*keys).distinct(), keys).withColumn("_one", F.row_number().over(one)).filter("_one = 1").drop("_one")
+    guests = texts.join(heads, keys).withColumn("_guest", F.lit(1))
+    both = _dealt(rows, keys, levels).withColumn("_guest", F.lit(0)).unionByName(guests)
+    return both.withColumn("_place", F.row_number().over(_order()))
+
+
+def _order():
+    return W.partitionBy("_bucket").orderBy("_guest", "_at", "_tie")
 
 
 def with_next(rows: DataFrame, id_col: str, carried: list[str], tie: str) -> DataFrame:
-    """Each row with ``next``: the struct of ``carried`` of the row next in order of id (then ``tie``), the first
-    row's for the last. Ids are dealt to buckets between their quantiles, so no task holds more than a bucket;
-    only the first row of each bucket is handed over to another one. Null ids come first."""
-    total = rows.agg(F.count("*").alias("n")).first()["n"]
-    n = int(min(BUCKETS, max(1, -(-total // BUCKET_ROWS))))
-    cuts: list[int] = []
-    if n > 1:
-        found = rows.agg(F.percentile_approx(id_col, [i / n for i in range(1, n)], 10 * n)).first()[0]
-        cuts = sorted(set(found or []))
-    width = 32
-    coarse = [cuts[i] for i in range(0, len(cuts), width)]
-    bucket = F.lit(0)
-    if cuts:
-        fine = [cuts[i : i + width] for i in range(0, len(cuts), width)]
-        at = F.size(F.filter(F.lit(coarse), lambda x: x <= F.col(id_col)))
-        bucket = F.when(F.col(id_col) < cuts[0], 0).otherwise(
-            F.coalesce((at - 1) * width + F.size(F.filter(F.element_at(F.array(*map(F.lit, fine)), F.greatest(at, F.lit(1))), lambda x: x <= F.col(id_col))), F.lit(0))
-        )
-    dealt = rows.withColumn("_bucket", bucket.cast("int"))
-    later = W.partitionBy("_bucket").orderBy(F.col(id_col).asc_nulls_first(), tie)
-    least = dealt.groupBy("_bucket").agg(F.min(F.coalesce(F.col(id_col), F.lit(-(1 << 63)))).alias("_least"))
-    heads = (
-        dealt.join(F.broadcast(least), "_bucket")  # at most BUCKETS + 1 rows
-        .filter(F.coalesce(F.col(id_col), F.lit(-(1 << 63))) == F.col("_least"))
-        .withColumn("_place", F.row_number().over(later)).filter("_place = 1")
-    )
-    order = W.orderBy("_bucket")
-    first = F.first(F.struct(*carried)).over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    head = heads.select("_bucket", F.coalesce(F.lead(F.struct(*carried)).over(order), first).alias("_head"))
-    return (
-        dealt.withColumn("next", F.lead(F.struct(*carried)).over(later)).join(head, "_bucket")
-        .withColumn("next", F.coalesce("next", "_head")).drop("_bucket", "_head")
-    )
+    """Each row with ``next``: the struct of ``carried`` of the row next in order of id (then of a hash of ``tie``), the first
+    row's for the last. Rows are dealt to buckets between their quantiles, as many as the rows ask for."""
+    following = F.lead(F.struct(*carried)).over(_order())
+    return _in_order(rows, id_col, tie).withColumn("next", following).filter("_guest = 0").select(*rows.columns, "next")
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each text's fingerprint, and that of its edit: its last floor(n/2) code points replaced by the first as
     many (or all) of the next text by id. Null texts are empty; two empty texts are alike (1); an empty and
-    another are not (0). Rows of equal id go by text; an empty table gives an empty table."""
+    another are not (0). Rows of equal id go by a hash of the text, null is the least id, repeated rows have a row each; an
+    empty table gives an empty table. Texts move once, to their bucket; all else happens there."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumn("print", vector(F.col("text")))
-    half = F.floor(F.length("text") / 2).cast("int")
-    edit = F.concat(F.substr("text", F.lit(1), F.length("text") - half), F.substr(F.col("next.text"), F.lit(1), half))
-    edited = with_next(rows, "doc_id", ["text", "print"], "text").withColumn("edited", edit)
-    edited = edited.withColumn("edited_print", vector(F.col("edited")))
-    return edited.select(
-        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
-        printed(F.col("print")).alias("fingerprint"), printed(F.col("edited_print")).alias("edited_fingerprint"),
-        likeness(F.col("print"), F.col("edited_print")).alias("near_edited"), likeness(F.col("print"), F.col("next.print")).alias("near_next"),
+    n = F.length("text")
+    half = F.floor(n / 2).cast("int")
+    edit = F.concat(F.substr("text", F.lit(1), n - half), F.substr("next", F.lit(1), half))
+    placed = _in_order(rows, "doc_id", "text").withColumn("next", F.lead("text").over(_order()))
+    placed = placed.withColumn("edited", F.coalesce(edit, F.lit("")))
+    sides = F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("text")), F.struct(F.lit(1).alias("side"), F.col("edited").alias("text")))
+    keys = ["_bucket", "_place", "_guest", "doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256")]
+    sided = placed.select(*keys, F.explode(F.when(F.col("_guest") == 0, sides).otherwise(F.slice(sides, 1, 1))).alias("s"))
+    made = vectors(sided.select("_bucket", "_place", "_guest", "doc_id", "n_chars", "edited_sha256", "s.side", "s.text"))
+    made = made.withColumn("votes", votes(F.col("print")))
+    made = made.withColumn("own", F.struct("print", "votes", _dot(F.col("votes"), F.col("votes")).alias("norm")))
+    order = W.partitionBy("_bucket").orderBy("_place", "side")
+    made = made.withColumns({"other": F.lead("own", 1).over(order), "next": F.lead("own", 2).over(order)}).filter("side = 0 and _guest = 0")
+    return made.select(
+        "doc_id", "n_chars", "edited_sha256", printed(F.col("own.print")).alias("fingerprint"), printed(F.col("other.print")).alias("edited_fingerprint"),
+        likeness(F.col("own"), F.col("other")).alias("near_edited"), likeness(F.col("own"), F.col("next")).alias("near_next"),
     )

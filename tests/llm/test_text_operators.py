@@ -3,10 +3,12 @@ import itertools
 import math
 import random
 import re
+import struct
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import functions as F
 
 from donorloom.llm import chat, decontaminate, fingerprint, language_id, quality, rows, token_counts, toxicity
@@ -60,6 +62,57 @@ def test_fingerprints_add_up(spark):
     assert got["sum"] == got["ab"] and got["less"] == got["a"] and got["a"] != got["ab"] and set(got["n"]) == {0}
 
 
+def plain_vector(text):
+    """The same fingerprint in plain Python."""
+    counts, seed = np.zeros((2, 64), np.int64), xxhash.xxh64(struct.pack("<i", 1), seed=42).intdigest()
+    clauses = [c for line in text.split("\n") for c in re.findall(fingerprint.CLAUSE, line)]
+    for c in clauses:
+        for side, s in enumerate((42, seed)):
+            h = xxhash.xxh64(c.encode(), seed=s).intdigest()
+            counts[side] += [(h >> j) & 1 for j in range(64)]
+    packed = [int(counts[side][j]) + (int(counts[side][j + 31]) << 31) for side in (0, 1) for j in range(31)]
+    v = np.concatenate([2 * counts[side][a : a + 31] - len(clauses) for a in (0, 31) for side in (0, 1)]).astype(float)
+    return [len(clauses), text.count("\n"), *packed], v
+
+
+def plain_likeness(a, b):
+    (p, u), (q, v) = a, b
+    size = math.sqrt((u @ u) * (v @ v))
+    return 1.0 if p == q else 0.0 if size == 0 else min(1.0, max(0.0, u @ v / size))
+
+
+def test_edited_fingerprints_equal_plain_ones(spark, monkeypatch):
+    """All columns, over many buckets, with null, repeated and hot ids, empty and equal texts and a text of 40,000 clauses."""
+    monkeypatch.setattr(fingerprint, "BUCKET_ROWS", 4)
+    monkeypatch.setattr(fingerprint, "FAN", 4)
+    rng = random.Random(6)
+    line = lambda: " ".join(rng.choice(["alpha", "beta,", "gamma.", "délta", "😀"]) for _ in range(rng.randint(0, 9)))
+    ids = [*rng.sample(range(-500, 500), 60), *[7] * 12, *[8] * 30, None, None]
+    table = [(i, "same text. again\n" if i == 8 and rng.random() < 0.8 else "\n".join(line() for _ in range(rng.randint(0, 5)))) for i in ids] + [(900, "a." * 40_000), (901, None)]
+    tie = lambda t: xxhash.xxh64((t or "").encode(), seed=42).intdigest() >> 1
+    order = sorted(table, key=lambda r: (r[0] is not None, r[0] or 0, tie(r[1])))
+    want = Counter()
+    show = lambda v: ".".join(f"{x:X}" for x in v)
+    for (i, t), (_, u) in zip(order, order[1:] + order[:1], strict=True):
+        t, u = t or "", u or ""
+        half = len(t) // 2
+        edited = t[: len(t) - half] + u[:half]
+        own, other, following = map(plain_vector, (t, edited, u))
+        want[i, len(t), hashlib.sha256(edited.encode()).hexdigest(), show(own[0]), show(other[0]), round(plain_likeness(own, other), 9), round(plain_likeness(own, following), 9)] += 1
+    got = fingerprint.edited_fingerprints(docs(spark, table).repartition(3)).collect()
+    assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in got) == want
+    own = spark.createDataFrame([(i, t) for i, t in enumerate(["", "one\ntwo. three", "\n\n", "x" * 200])], "i int, text string")
+    both = own.withColumn("column", fingerprint.vector(F.col("text"))).join(fingerprint.vectors(own), "i").collect()
+    assert len(both) == 4 and all(r["column"] == r["print"] for r in both)
+
+
+def test_fingerprints_of_millions_of_clauses(spark):
+    """More clauses than 21 bits can count: every vote is that of a single clause."""
+    table = spark.createDataFrame([(1,), (2,)], "i int").select("i", F.when(F.col("i") == 1, F.repeat(F.lit("a."), F.lit(2_500_000))).otherwise("a.").alias("text"))
+    many, one = (r["votes"] for r in fingerprint.vectors(table).orderBy("i").select(fingerprint.votes(F.col("print")).alias("votes")).collect())
+    assert len(one) == 124 and [x / 2_500_000 for x in many] == one and set(one) == {1.0, -1.0}
+
+
 def test_edited_fingerprints(spark):
     texts = [(3, "alpha beta. gamma delta. epsilon zeta. eta theta. " * 5), (1, None), (2, ""), (9, "xé"), (9, "xé"), (20, "other words here. nothing the same. " * 9)]
     got = fingerprint.edited_fingerprints(docs(spark, texts)).collect()
