@@ -50,6 +50,21 @@ def test_chat_round_trip(spark):
     assert chat.format_conversations(table.limit(0)).count() == 0
 
 
+def test_chat_of_many_turns_and_repeated_rows(spark):
+    """A conversation of 20,000 turns beside short ones, a long text, repeated rows and a null role."""
+    rows_ = [(1, t, ("user", "assistant", "assistant", None)[t % 4], f"text {t} <|end|>") for t in range(20_000)]
+    rows_ += [(2, 0, "assistant", "x" * 3_000_000)] * 2 + [(3, None, "user", "a"), (3, 0, "user", "b"), (3, 1, None, None), (3, 1, "", "c")]
+    table = spark.createDataFrame([(*r, 0) for r in rows_], "conv_id long, turn long, role string, text string, loss_spans int").repartition(3)
+    done = chat.format_conversations(table)
+    got = {r["conv_id"]: r for r in done.select("conv_id", "formatted", "loss_spans", chat.read_turns(F.col("formatted")).alias("turns"), chat.read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss")).collect()}
+    for conv, own in itertools.groupby(rows_, key=lambda r: r[0]):
+        want = sorted(((r[1] is not None, r[1] or 0), r[2] or "", r[3] or "") for r in own)
+        assert [(t["role"], t["text"]) for t in got[conv]["turns"]] == [w[1:] for w in want]
+        assert got[conv]["loss"] == "".join(w[2] for w in want if w[1] == "assistant")
+    assert got[3]["formatted"] == "<|start|>user<|sep|>a<|turn|>b<|end|>\n<|start|><|sep|><|turn|>c<|end|>\n"
+    assert len(got[1]["loss_spans"]) == 10_000 and len(got[2]["formatted"]) > 6_000_000
+
+
 # fingerprints
 
 
