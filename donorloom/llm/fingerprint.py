@@ -23,6 +23,8 @@ _MODULO = (1 << (2 * WIDTH)) - 1
 _LANE = (1 << WIDTH) - 1
 #: Rows that a bucket of neighbours should have, and the buckets that one is cut into at a time.
 BUCKET_ROWS, FAN = 2000, 1024
+#: First rows of buckets whose keys are sent to every executor (16 bytes each) to find their texts; more are joined by a shuffle.
+SENT_HEADS = 1 << 18
 
 
 def _hashes(clause: Column) -> tuple[Column, Column]:
@@ -149,9 +151,12 @@ def _in_order(rows: DataFrame, id_col: str, tie: str) -> DataFrame:
     before = least.withColumn("_group", F.floor(F.col("_bucket") / FAN)).withColumn("_before", F.lag("_bucket").over(in_group)).join(first, "_group")
     heads = before.select(F.coalesce("_before", "_before_group").alias("_bucket"), *keys)
     one = W.partitionBy(*keys).orderBy(*keys)
-    texts = rows.join(heads.select(*keys).distinct(), keys).withColumn("_one", F.row_number().over(one)).filter("_one = 1").drop("_one")
+    buckets = least.count()
+    wanted = heads.select(*keys).distinct()
+    wanted = F.broadcast(wanted) if buckets <= SENT_HEADS else wanted
+    texts = rows.join(wanted, keys).withColumn("_one", F.row_number().over(one)).filter("_one = 1").drop("_one")
     guests = texts.join(heads, keys).withColumn("_guest", F.lit(1))
-    both = _dealt(rows, keys, levels).withColumn("_guest", F.lit(0)).unionByName(guests)
+    both = _dealt(rows, keys, levels).withColumn("_guest", F.lit(0)).unionByName(guests).repartition(max(1, buckets // 2), "_bucket")
     return both.withColumn("_place", F.row_number().over(_order()))
 
 
