@@ -28,7 +28,9 @@ def filled(sizes, weights, percent, repeats):
     return target
 
 
-def test_mix_meets_targets(spark):
+@pytest.mark.parametrize("part_rows", [50_000, 3])
+def test_mix_meets_targets(spark, monkeypatch, part_rows):
+    monkeypatch.setattr(mixing, "PART_ROWS", part_rows)
     rng = random.Random(3)
     rows = [(i, " ".join("w" * 3 for _ in range(rng.randint(0, 40))), rng.choices(["a", "b", "c", "é", None], [9, 2, 2, 1, 1])[0]) for i in range(600)]
     rows += [(1000, None, "a"), (1001, "", "b"), (5, "five", "a")]
@@ -48,6 +50,24 @@ def test_mix_meets_targets(spark):
     assert [r["taken"] for r in mixing.mix(docs(spark, [(1, None, None)])).collect()] == [0]
 
 
+def test_targets_of_many_sources(spark):
+    """More sources than a task sorts, so many caps in turn; sources of no words, a null one, and none at all."""
+    rng = random.Random(7)
+    sizes = {f"s{i}": int(1.3**rng.randint(0, 40)) for i in range(300)} | {"é": 0, "": 3, None: 50, "😀": 9}
+    table = spark.createDataFrame([(f"k{s}", s, n) for s, n in sizes.items()], "key string, source string, source_size long").repartition(5)
+    for weights, percent, repeats in (((5, 2, 1), 150, 2), ((1,), 60, 1), ((3, 1), 500, 2)):
+        got = {r["source"]: r["target"] for r in mixing.source_targets(table, weights, percent, repeats).collect()}
+        assert got == pytest.approx(filled(sizes, weights, percent, repeats), abs=1e-6)
+    assert mixing.source_targets(table.limit(0), (1,), 150, 2).count() == 0
+
+
+def test_rows_of_null_and_repeated_ids_are_mixed(spark):
+    rows = [(None, "a b c", "s"), (None, "d e f", "s"), (4, "a b", "s"), (4, "a b", "s"), (4, None, None), (None, None, None), (5, "w " * 50_000, "t")]
+    got = mixing.mix(docs(spark, rows)).collect()
+    assert sorted((r["doc_id"] or 0, r["size"]) for r in got) == sorted((i or 0, len((t or "").split())) for i, t, _ in rows)
+    assert all(r["taken"] <= 2 * r["size"] for r in got) and sum(r["taken"] for r in got if r["source"] == "t") in (50_000, 100_000)
+
+
 def test_fit_budget_is_as_near_as_can_be():
     rng = random.Random(8)
     for _ in range(300):
