@@ -1,9 +1,10 @@
 """Toxicity: a Levenshtein automaton walked together with the trie of a lexicon, and scores of the context.
 
 The lexicon is a short list of insults and the words and word beginnings that labelled toxic texts have more often
-than chance allows. Its trie and the edit automaton are intersected step by step and kept as one deterministic
-automaton, so most words of a text end after two or three letters. Each hit is weighed by its context window: inside
-quotation marks or after a verb of reporting it counts as quoted, otherwise as abuse.
+than chance allows. Its trie and the edit automaton (a letter more, less, other, or two swapped, the first one too) are
+intersected step by step and kept as one deterministic automaton, so most words of a text end after a few letters.
+Words near a term that labelled clean texts have are ordinary words, not misspellings. Each hit is weighed by its context
+window: inside quotation marks or after a verb of reporting it counts as quoted, otherwise as abuse.
 """
 
 from __future__ import annotations
@@ -28,10 +29,11 @@ ADDRESS = frozenset("you your youre yourself u tu vous toi du dich ihr sie usted
 QUOTES = re.compile("[\"“”„«»]")
 WORD = re.compile(r"\w+")
 
-#: Labelled rows of each class that the lexicon and the weights are fitted on, at most: those of least hash.
+#: Labelled rows of each class that the lexicon and the weights are fitted on, at most: those of least hash. The learned
+#: lexicon is all that passes its test on them, so the sample bounds it too.
 FIT_ROWS = 4000
-#: Learned entries at most, and their lengths.
-LEARNED, STEMS = 512, (4, 5, 6, 7, 8, 9)
+#: Lengths of learned beginnings of words.
+STEMS = (4, 5, 6, 7, 8, 9)
 WINDOW = 5
 FEATURES = ("abuse", "quoted", "abuse_misspelt", "quoted_misspelt", "addressed", "terms", "density")
 
@@ -45,17 +47,19 @@ class Term:
 
     @property
     def edits(self) -> int:
-        """Edits that a misspelling may have: none in short terms and in beginnings of words, whose neighbours are
-        other words."""
+        """Edits that a misspelling may have: none in terms under four letters and in beginnings of words, whose neighbours
+        are other words."""
         n = len(self.text)
-        return 0 if n < 5 or self.stem else 1 if n < 9 else 2
+        return 0 if n < 4 or self.stem else 1 if n < 9 else 2
 
 
 @dataclass
 class Automaton:
-    """Terms of a trie within their edits, as a deterministic automaton made on the way. The first letter must agree."""
+    """Terms of a trie within their edits, as a deterministic automaton made on the way. A place of it is (node of the
+    trie, letter that a swap still owes, edits so far)."""
 
     terms: list[Term]
+    ordinary: frozenset[str] = frozenset()
     children: list[dict[str, int]] = field(default_factory=lambda: [{}])
     ends: list[list[int]] = field(default_factory=lambda: [[]])
     slack: list[int] = field(default_factory=lambda: [0])
@@ -78,45 +82,55 @@ class Automaton:
         self.steps: list[dict[str, int]] = [{}]
         self.final: list[tuple[int, int] | None] = [None]
         self.begun: list[tuple[int, int] | None] = [None]
-        self.start = self._state({(0, 0)})
+        self.start = self._state({(0, "", 0)})
 
-    def _state(self, places: set[tuple[int, int]]) -> int:
-        todo = [p for p in places if p[0] != 0]
+    def _state(self, places: set[tuple[int, str, int]]) -> int:
+        todo = [p for p in places if not p[1]]
         while todo:
-            node, e = todo.pop()
+            node, _, e = todo.pop()
             for nxt in self.children[node].values():
-                if e < self.slack[nxt] and (nxt, e + 1) not in places:
-                    places.add((nxt, e + 1))
-                    todo.append((nxt, e + 1))
-        least: dict[int, int] = {}
-        for node, e in places:
-            least[node] = min(e, least.get(node, e))
+                if e < self.slack[nxt] and (nxt, "", e + 1) not in places:
+                    places.add((nxt, "", e + 1))
+                    todo.append((nxt, "", e + 1))
+        least: dict[tuple[int, str], int] = {}
+        for node, owed, e in places:
+            least[node, owed] = min(e, least.get((node, owed), e))
         key = frozenset(least.items())
         if key not in self.states:
             self.states[key] = len(self.sets)
             self.sets.append(key)
             self.steps.append({})
-            hits = sorted((e, t) for node, e in key for t in self.ends[node] if e <= self.terms[t].edits)
+            hits = sorted((e, t) for (node, owed), e in key if not owed for t in self.ends[node] if e <= self.terms[t].edits)
             whole, stems = ([h for h in hits if self.terms[h[1]].stem == kind] for kind in (False, True))
             self.final.append(whole[0][::-1] if whole else None)
             self.begun.append(stems[0][::-1] if stems else None)
         return self.states[key]
 
     def _step(self, state: int, c: str) -> int:
-        places: set[tuple[int, int]] = set()
-        for node, e in self.sets[state]:
+        places: set[tuple[int, str, int]] = set()
+        for (node, owed), e in self.sets[state]:
+            if owed:
+                if owed == c:
+                    places.add((node, "", e))
+                continue
             nxt = self.children[node].get(c)
             if nxt is not None:
-                places.add((nxt, e))
-            if node != 0 and e < self.slack[node]:
-                places.add((node, e + 1))
-                places.update((other, e + 1) for other in self.children[node].values() if e < self.slack[other])
+                places.add((nxt, "", e))
+            if e < self.slack[node]:
+                places.add((node, "", e + 1))
+                for letter, other in self.children[node].items():
+                    if e < self.slack[other]:
+                        places.add((other, "", e + 1))
+                        swapped = self.children[other].get(c)
+                        if swapped is not None and letter != c and e < self.slack[swapped]:
+                            places.add((swapped, letter, e + 1))
         to = self._state(places) if places else 0
         self.steps[state][c] = to
         return to
 
     def match(self, word: str) -> tuple[int, int] | None:
-        """(term, edits) of the entry that the word is, misspells or begins with and goes on; the fewest edits first."""
+        """(term, edits) of the entry that the word is, misspells or begins with and goes on; the fewest edits first. An
+        ordinary word misspells nothing."""
         state, begun = self.start, None
         for c in word:
             found = self.begun[state]
@@ -129,6 +143,8 @@ class Automaton:
                 return begun
             state = to
         found = self.final[state]
+        if found is not None and found[1] and word in self.ordinary:
+            found = None
         return found if found is not None and (begun is None or found[1] < begun[1]) else begun
 
 
@@ -170,7 +186,7 @@ def features(text: str, automaton: Automaton, known: dict[str, tuple[int, int] |
 def _features_udf(sent):
     @F.pandas_udf("array<double>")
     def of(text: pd.Series) -> pd.Series:
-        automaton, known = Automaton(sent.value), {}
+        automaton, known = _automaton(sent), {}
         return pd.Series([features(t or "", automaton, known) for t in text])
 
     return of
@@ -192,40 +208,78 @@ def learn_terms(sample: DataFrame) -> list[Term]:
     t, c = F.col("t"), F.col("c")
     n = t + c
     ratio = t * F.log(t / (n * share)) + F.when(c > 0, c * F.log(c / (n * (1 - share)))).otherwise(0.0)
-    rows = counts.filter((t >= 4) & (t / n > share)).withColumn("ratio", ratio).filter(F.col("ratio") > 18).orderBy(F.desc("ratio"), "stem").limit(8 * LEARNED).collect()
+    passed = counts.filter((t >= 4) & (t / n > share)).withColumn("ratio", ratio).filter(F.col("ratio") > 18).orderBy(F.desc("ratio"), "stem")
     chosen: list[Term] = []
-    for r in rows:
-        own = r["stem"].rstrip("$")
-        if len(chosen) < LEARNED and not any(own.startswith(x.text) or x.text.startswith(own) for x in chosen):
-            chosen.append(Term(own, stem=own == r["stem"]))
+    begins_: set[str] = set()  # beginnings of chosen entries, themselves included
+    stems: set[str] = set()
+    for r in passed.select("stem").collect():
+        own, whole = r["stem"].rstrip("$"), r["stem"].endswith("$")
+        if whole:  # beside a beginning of it, too: only whole words have misspellings
+            chosen.append(Term(own))
+        elif own not in begins_ and not any(own[:i] in stems for i in range(1, len(own))):
+            chosen.append(Term(own, stem=True))
+            stems.add(own)
+        else:
+            continue
+        begins_.update(own[:i] for i in range(1, len(own) + 1))
     return chosen
 
 
 def _hits_udf(sent):
+    """Hits of a text: "term:0", and for misspellings "term:1" and "=form"."""
+
     @F.pandas_udf("array<string>")
     def of(text: pd.Series) -> pd.Series:
-        automaton = Automaton(sent.value)
-        found = ([automaton.match(w) for w in set(WORD.findall((t or "").lower()))] for t in text)
-        return pd.Series([sorted({f"{h[0]}:{int(h[1] > 0)}" for h in hits if h is not None}) for hits in found])
+        automaton = _automaton(sent)
+        out = []
+        for t in text:
+            hits = set()
+            for w in set(WORD.findall((t or "").lower())):
+                found = automaton.match(w)
+                if found is not None:
+                    hits |= {f"{found[0]}:1", f"={w}"} if found[1] else {f"{found[0]}:0"}
+            out.append(sorted(hits))
+        return pd.Series(out)
 
     return of
 
 
-def weigh_terms(terms: list[Term], sample: DataFrame) -> list[Term]:
+def _met(terms: list[Term], ordinary: frozenset[str], sample: DataFrame) -> dict[str, tuple[int, int]]:
+    """Toxic rows and all rows of ``sample`` with each hit."""
+    sent = sample.sparkSession.sparkContext.broadcast(Lexicon(terms, ordinary))
+    met = sample.select("y", F.explode(_hits_udf(sent)("text")).alias("hit")).groupBy("hit").agg(F.sum("y").alias("t"), F.count("*").alias("n"))
+    return {r["hit"]: (r["t"], r["n"]) for r in met.collect()}
+
+
+def ordinary_words(terms: list[Term], sample: DataFrame) -> frozenset[str]:
+    """Words near a term that clean rows of ``sample`` (text, y) have, and toxic ones no more often than chance allows (two
+    standard deviations above their share of all rows)."""
+    total = sample.agg(F.sum("y").alias("t"), F.count("*").alias("n")).first()
+    share = (total["t"] or 0) / max(total["n"], 1)
+    return frozenset(hit[1:] for hit, (t, n) in _met(terms, frozenset(), sample).items() if hit.startswith("=") and t < n and t <= share * n + 2 * math.sqrt(n * share * (1 - share)))
+
+
+def weigh_terms(terms: list[Term], sample: DataFrame, ordinary: frozenset[str] = frozenset()) -> list[Term]:
     """The terms with the log-odds that a text of ``sample`` (text, y) with one of them, or with a misspelling of it, is
     toxic; 0.05 at least, so a form that is an ordinary word says next to nothing. Terms not met keep theirs."""
     total = sample.agg(F.count_if(F.col("y") == 1).alias("t"), F.count_if(F.col("y") == 0).alias("c")).first()
-    sent = sample.sparkSession.sparkContext.broadcast(terms)
-    met = sample.select("y", F.explode(_hits_udf(sent)("text")).alias("hit")).groupBy("hit").agg(F.sum("y").alias("t"), F.count("*").alias("n")).collect()
-    odds = {r["hit"]: max(0.05, math.log((r["t"] + 0.5) / (total["t"] + 1)) - math.log((r["n"] - r["t"] + 0.5) / (total["c"] + 1))) for r in met}
+    met = _met(terms, ordinary, sample)
+    odds = {hit: max(0.05, math.log((t + 0.5) / (total["t"] + 1)) - math.log((n - t + 0.5) / (total["c"] + 1))) for hit, (t, n) in met.items()}
     return [replace(t, weight=odds.get(f"{i}:0", t.weight), misspelt=odds.get(f"{i}:1", t.misspelt)) for i, t in enumerate(terms)]
 
 
+@dataclass
+class Lexicon:
+    terms: list[Term]
+    ordinary: frozenset[str]
+
+
 @dataclass
 class Model:
     terms: list[Term]
     weights: np.ndarray
     bias: float
+    ordinary: frozenset[str] = frozenset()
 
     def probability(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights + self.bias, -30, 30)))
@@ -250,7 +304,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_r
     lexicon is the list of insults with set weights. Null labels teach nothing; an id labelled twice counts
     once, its greatest label."""
     spark = docs.sparkSession
-    base = [Term(w) for w in INSULTS]
+    base = [Term(w, misspelt=1.5 if len(w) > 4 else 0.75) for w in INSULTS]
     marked = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     total = marked.agg(F.count_if(F.col("y") == 1).alias("t"), F.count_if(F.col("y") == 0).alias("c")).first()
     if not total["t"] or not total["c"]:
@@ -259,16 +313,21 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_r
     wanted = part[0].union(part[1])
     # at most twice fit_rows ids
     sample = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(wanted), "doc_id").select("doc_id", "text", "y").persist()
-    terms = weigh_terms(learn_terms(sample) + base, sample)
-    sent = spark.sparkContext.broadcast(terms)
-    rows = sample.select("doc_id", "y", _features_udf(sent)("text").alias("x")).orderBy("doc_id").toPandas()
-    sample.unpersist()
+    try:
+        terms = learn_terms(sample)
+        terms += [t for t in base if t.text not in {x.text for x in terms if not x.stem}]
+        ordinary = ordinary_words(terms, sample)
+        terms = weigh_terms(terms, sample, ordinary)
+        sent = spark.sparkContext.broadcast(Lexicon(terms, ordinary))
+        rows = sample.select("doc_id", "y", _features_udf(sent)("text").alias("x")).orderBy("doc_id").toPandas()
+    finally:
+        sample.unpersist()
     if not 0 < rows["y"].sum() < len(rows):
-        return Model(terms, np.array([2.0, 0.5, 1.0, 0.2, 0.5, 0.5, 0.0]), -3.0)
+        return Model(terms, np.array([2.0, 0.5, 1.0, 0.2, 0.5, 0.5, 0.0]), -3.0, ordinary)
     x, y = np.stack(rows["x"].to_numpy()), rows["y"].to_numpy(float)
     weights, bias = _logistic(x, y)
     bias += math.log(total["t"] / total["c"]) - math.log(y.sum() / (len(y) - y.sum()))
-    return Model(terms, weights, bias)
+    return Model(terms, weights, bias, ordinary)
 
 
 def score_toxicity(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
@@ -290,9 +349,9 @@ _made: dict[int, Automaton] = {}
 
 
 def _automaton(sent) -> Automaton:
-    """The automaton of a broadcast model, once a worker."""
+    """The automaton of a broadcast model or lexicon, once a worker."""
     key = id(sent.value)
     if key not in _made:
         _made.clear()
-        _made[key] = Automaton(sent.value.terms)
+        _made[key] = Automaton(sent.value.terms, sent.value.ordinary)
     return _made[key]

@@ -296,36 +296,91 @@ def test_language_id(spark):
 
 
 def distance(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(b, 1):
-            new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
-        row = new
-    return row[-1]
+    """Letters put in, left out, changed, or swapped with the next one."""
+    d = [[max(i, j) if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+    return d[-1][-1]
 
 
 def test_automaton_equals_edit_distance():
-    terms = [toxicity.Term(w) for w in ("idiot", "scum", "disgusting", "moron")] + [toxicity.Term("vequa", stem=True)]
-    automaton = toxicity.Automaton(terms)
+    terms = [toxicity.Term(w) for w in ("idiot", "scum", "disgusting", "moron", "fop")] + [toxicity.Term("vequa", stem=True)]
+    automaton = toxicity.Automaton(terms, frozenset({"moran", "scam", "idiot"}))
     rng = random.Random(7)
-    words = set()
+    words = {"ldiot", "1diot", "diot", "scun", "stpuid", "idoit", "sucm", "moran", "scam", "idiot", ""}
     for t in terms:
-        for _ in range(300):
+        for _ in range(400):
             w = list(t.text)
             for _ in range(rng.randint(0, 3)):
                 at = rng.randrange(len(w) + 1)
-                kind = rng.randrange(3)
-                w[at : at + (kind > 0)] = [rng.choice("abidmostu")] if kind < 2 else []
+                kind = rng.randrange(4)
+                if kind == 3:
+                    w[at : at + 2] = w[at : at + 2][::-1]
+                else:
+                    w[at : at + (kind > 0)] = [rng.choice("abidmostu")] if kind < 2 else []
             words.add("".join(w))
     for w in words:
-        near = [d for t in terms if not t.stem and w[:1] == t.text[:1] for d in [distance(w[1:], t.text[1:])] if d <= t.edits]
+        near = [d for t in terms if not t.stem for d in [distance(w, t.text)] if d <= t.edits and not (d and w in automaton.ordinary)]
         if w.startswith("vequa") and len(w) > 5:
             near.append(0)
         found = automaton.match(w)
         assert (found[1] if found else None) == (min(near) if near else None), w
 
 
+def labelled(rng, n):
+    """Texts with labels: "zorg" and words that begin with "brint" are toxic, "zork" is an ordinary word."""
+    plain = ["calm", "river", "stone", "zork", "light", "paper", "green", "walk"]
+    rows = []
+    for i in range(n):
+        y = int(rng.random() < 0.4)
+        words = rng.choices(plain, k=12) + ([rng.choice(["zorg", "zorg", "brint" + rng.choice("abcdefgh") + "x"])] if y else [])
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), y))
+    return rows
+
+
+def test_terms_are_learned_and_weighed(spark):
+    sample = spark.createDataFrame(labelled(random.Random(1), 300), "doc_id long, text string, y int")
+    terms = toxicity.learn_terms(sample)
+    assert {(t.text, t.stem) for t in terms} == {("zorg", False), ("brin", True)}
+    ordinary = toxicity.ordinary_words(terms, sample)
+    assert ordinary == {"zork"}
+    weighed = {t.text: t for t in toxicity.weigh_terms(terms, sample, ordinary)}
+    total = sample.agg(F.sum("y"), F.count("*")).first()
+    n = sample.filter("array_contains(split(text, ' '), 'zorg')").count()
+    assert abs(weighed["zorg"].weight - (math.log((n + 0.5) / (total[0] + 1)) - math.log(0.5 / (total[1] - total[0] + 1)))) < 1e-9
+    assert weighed["zorg"].misspelt == toxicity.Term("zorg").misspelt  # no misspelling met
+    assert toxicity.learn_terms(sample.filter("y = 0")) == [] and toxicity.ordinary_words(terms, sample.limit(0)) == frozenset()
+
+
+def test_logistic_regression_has_no_slope_left():
+    rng = np.random.default_rng(2)
+    x = rng.random((400, 3))
+    y = (rng.random(400) < 1 / (1 + np.exp(-(x @ [3, -2, 0] - 0.5)))).astype(float)
+    w, bias = toxicity._logistic(x, y)
+    p = 1 / (1 + np.exp(-(x @ w + bias)))
+    assert np.abs(x.T @ (p - y) + 0.05 * w).max() < 1e-5 and w[0] > 1.5 > -1 > w[1]
+
+
+def test_toxicity_of_held_out_texts(spark):
+    """Learned on one part, right on the other: misspelt and quoted terms, repeated, null and very long texts."""
+    rng = random.Random(3)
+    rows_ = labelled(rng, 400)
+    held = labelled(rng, 150)
+    texts = [(i, t) for i, t, _ in rows_] + [(1000 + i, t) for i, t, _ in held] + [(3000, "calm " * 200_000 + "zorg"), (3001, "you zrog, stone"), (3002, None), (3003, ""), (None, "zorg zorg"), (None, "calm")] + [(3004, "zorg")] * 2
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows_] + [(1, None), (None, 1), (9999, 1)], "doc_id long, toxic int")
+    model = toxicity.fit_toxicity(docs(spark, texts), labels)
+    got = toxicity.score_toxicity(docs(spark, texts), model, 0.5).collect()
+    own = {r["doc_id"]: r for r in got if r["doc_id"] is not None}
+    assert len(got) == len(texts) and sum(r["doc_id"] == 3004 for r in got) == 2
+    assert sum(own[1000 + i]["predicted"] == y for i, _, y in held) >= 0.97 * len(held)
+    assert own[3001]["score"] > own[3002]["score"] == own[3003]["score"] and own[3000]["score"] > own[3002]["score"]
+    assert sorted(r["predicted"] for r in got if r["doc_id"] is None) == [0, 1]
+
+
 def test_toxicity_tells_quotation_from_abuse(spark):
     model = toxicity.Model([toxicity.Term(w) for w in toxicity.INSULTS], np.array([2.0, 0.2, 1.0, 0.1, 0.5, 0.5, 0.0]), -3.0)
     rows = [(1, "you are an idiot and a moron"), (2, 'he said "idiot moron" once'), (3, "what a fine day"), (4, None), (5, ""), (6, "an idjot and a m0ron")]
