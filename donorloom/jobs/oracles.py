@@ -171,5 +171,54 @@ lcs(id, x, y, i, row) AS (
 ratios AS (SELECT id, 200.0 * row[length(y) + 1] / (length(x) + length(y)) AS ratio FROM lcs WHERE i = length(x))"""
 
 
+def geo(x: str) -> str:
+    return strip(rf"regexp_replace({x}, '\s+OF\s+({N.REGIONS})\b', '', 'gi')")
+
+
+def stripped(x: str) -> str:
+    return f"[{no_legal(normalized(x))}, {no_legal(expanded(normalized(x)))}, {no_legal(normalized(x, ' ', False))}]"
+
+
+def acronym(x: str) -> str:
+    bare = rf"regexp_replace(' ' || regexp_replace(upper({x}), '[^A-Z0-9\s]', '', 'g'), '(\s+({'|'.join(N.ACRONYM_SUFFIXES)}))+\s*$', '')"
+    kept = f"list_filter({words(bare)}, lambda w: w NOT IN ({quoted(N.ACRONYM_FILLERS)}))"
+    return f"CASE WHEN len({kept}) >= 2 THEN array_to_string(list_transform({kept}, lambda w: w[1]), '') ELSE '' END"
+
+
+def simple(x: str) -> str:
+    return strip(rf"regexp_replace(regexp_replace({strip(f'upper({x})')}, '[.\-,'']', '', 'g'), '\s+', ' ', 'g')")
+
+
+def search_names(x: str) -> str:
+    bare = "regexp_replace({0}, '\\s*\\([^)]*\\)', '', 'g')".replace("\\\\", "\\")
+    whole, base = strip(x), strip(bare.format(x))
+    inner = rf"list_filter(list_transform(regexp_extract_all({x}, '\(([^)]+)\)', 1), lambda p: {strip('p')}), lambda p: length(p) > 2)"
+    split = f"CASE WHEN contains({x}, ' / ') THEN list_filter(list_transform(string_split({x}, ' / '), lambda p: {strip(bare.format('p'))}), lambda p: length(p) > 2) ELSE [] END"
+    every = f"list_concat([{whole}], {inner}, CASE WHEN {base} NOT IN ('', {whole}) THEN [{base}] ELSE [] END, {split})"
+    return f"list_filter({every}, lambda v, i: list_position({every}, v) = i)"
+
+
+def subsequences(source: str, name: str) -> str:
+    """``name`` (x, y, ratio) for the pairs of ``source``, x of 60 characters at most: the subsequence in bits, a character of y
+    a step."""
+    full = "((1::BIGINT << length(x)) - 1)"
+    mask = "CAST(coalesce(list_sum(list_transform(range(length(x)), lambda k: CASE WHEN substr(x, k + 1, 1) = substr(y, i + 1, 1) THEN 1::BIGINT << k ELSE 0 END)), 0) AS BIGINT)"
+    return f"""
+{name}_steps AS (
+  SELECT x, y, 0 AS i, {full} AS v FROM {source}
+  UNION ALL SELECT x, y, i + 1, ((v + (v & m)) | (v - (v & m))) & {full} FROM (SELECT *, {mask} AS m FROM {name}_steps WHERE i < length(y))),
+{name} AS (SELECT x, y, 200.0 * (length(x) - bit_count(v)) / (length(x) + length(y)) AS ratio FROM {name}_steps WHERE i = length(y))"""
+
+
+def best_windows(source: str, name: str) -> str:
+    """``name`` (x, y, ratio) for the pairs of ``source``: the best ratio of the shorter with a window of the longer."""
+    return f"""
+{name}_sides AS (SELECT x AS p, y AS q, x AS s, y AS l FROM {source} WHERE length(x) <= length(y) UNION SELECT x, y, y, x FROM {source} WHERE length(y) <= length(x)),
+{name}_cuts AS (SELECT DISTINCT s AS x, unnest(list_concat(list_transform(range(length(l) - length(s) + 1), lambda k: substr(l, k + 1, length(s))),
+    list_transform(range(1, length(s)), lambda k: substr(l, 1, k)), list_transform(range(1, length(s)), lambda k: substr(l, length(l) - k + 1, k)))) AS y, l FROM {name}_sides),
+{name}_pairs AS (SELECT DISTINCT x, y FROM {name}_cuts),{subsequences(f'{name}_pairs', f'{name}_ratios')},
+{name} AS (SELECT p AS x, q AS y, max(ratio) AS ratio FROM {name}_sides JOIN {name}_cuts c ON c.x = s AND c.l = {name}_sides.l JOIN {name}_ratios r ON r.x = s AND r.y = c.y GROUP BY p, q)"""
+
+
 def query(body: str, extra: str = "") -> str:
     return f"WITH RECURSIVE {MATCHED}{',' + extra if extra else ''}\n{body}"

@@ -12,6 +12,7 @@ from donorloom.functions.similarity import indel_ratio, partial_ratio
 from donorloom.jobs import oracles as O
 from donorloom.jobs import views as V
 from donorloom.operators import addresses, aliases, clusters, compare, filters, reconcile, reports, rollup, search, supersession
+from donorloom.operators.shared import materialize
 from donorloom.sources.filings import registry
 
 _QUERIES: dict = {}
@@ -92,8 +93,8 @@ def s2_j3_f10_insert_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM matched m LEFT JOIN winners w ON w.ein = m.own_ein AND w.day = CAST(filing_day AS BIGINT) GROUP BY ALL"""))
 def j4_f11_supersession(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of each filing and day, the winning filing of the day, and whether they are superseded."""
-    src = V.contributions_src(spark, sf_dir)
-    marked = supersession.mark_superseded(V.matched(spark, sf_dir), registry(V.registry_src(src)), ein="own_ein")
+    rows = materialize(V.matched(spark, sf_dir), "matched")
+    marked = supersession.mark_superseded(rows, registry(V.registry_src(rows)), ein="own_ein")
     return marked.groupBy("own_ein", "form_id", "filing_day", "winner", "superseded").agg(F.count("*").alias("n"))
 
 
@@ -117,7 +118,8 @@ def a1_recipient_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL SELECT 'parent year', recipient_ein || ' ' || coalesce(substr(filing_day, 1, 4), '?'), count(*) FROM matched GROUP BY ALL"""))
 def a12_build_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of the build."""
-    return reports.build_report(V.contributions_src(spark, sf_dir), V.matched(spark, sf_dir), V.kept(spark, sf_dir))
+    matched = materialize(V.matched(spark, sf_dir), "matched")
+    return reports.build_report(V.contributions_src(spark, sf_dir), matched, V.kept_of(matched))
 
 
 # Search and reports
@@ -254,7 +256,8 @@ def h1_indel_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.matched(spark, sf_dir).select("donor").distinct().select("donor", F.round(indel_ratio(N.normalize_donor(d), N.canonical_name(d)), 4).alias("ratio"))
 
 
-@_query()
+@_query(O.query("SELECT donor, round(ratio, 4) AS ratio FROM hpairs JOIN best USING (x, y)", f"""hpairs AS (SELECT donor, {O.normalized('donor')} AS x, {O.no_legal(O.normalized('donor'))} AS y FROM (SELECT DISTINCT donor FROM matched)),
+hdistinct AS (SELECT DISTINCT x, y FROM hpairs),{O.best_windows('hdistinct', 'best')}"""))
 def h2_partial_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Similarity of each name's plain form to the best window of its legal one."""
     d = F.col("donor")
@@ -322,7 +325,16 @@ def j18_a13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.cluster_donors(V.matched(spark, sf_dir).select("donor"), groups=_groups(spark))
 
 
-@_query()
+_PLACES = f"""places AS (SELECT DISTINCT canonical, upper(state) AS st, upper(city) AS town, {O.street('street')} AS base, {O.secondary('street')} AS part
+  FROM named JOIN (SELECT DISTINCT upper(donor) AS u, street, city, state FROM matched WHERE trim(street) <> '') ON upper(donor) = u),
+bases AS (SELECT DISTINCT p.base AS x, q.base AS y FROM (SELECT DISTINCT base FROM places) p CROSS JOIN (SELECT DISTINCT base FROM places) q),{O.subsequences('bases', 'street_ratios')},
+towns AS (SELECT DISTINCT p.town AS x, q.town AS y FROM (SELECT DISTINCT town FROM places) p CROSS JOIN (SELECT DISTINCT town FROM places) q),{O.subsequences('towns', 'town_ratios')},
+same_place AS (SELECT p.canonical AS a, q.canonical AS b FROM places p JOIN places q ON p.st = q.st JOIN street_ratios s ON s.x = p.base AND s.y = q.base JOIN town_ratios t ON t.x = p.town AND t.y = q.town
+  WHERE p.base <> '' AND q.base <> '' AND s.ratio >= 75 AND t.ratio >= 80 AND coalesce(p.part = q.part, true)
+    AND (p.canonical, q.canonical) IN (SELECT (a, b) FROM close))"""
+
+
+@_query(O.query("SELECT DISTINCT a, b FROM close JOIN ratios ON id = a || '|' || b JOIN same_place USING (a, b) WHERE ratio >= threshold - 5", f"{_CANON},{_FUZZY},{_PLACES}"))
 def j10_address_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Similar names joined because addresses agree; every similar pair is taken for borderline here."""
     rows = V.matched(spark, sf_dir)
@@ -336,7 +348,8 @@ def j10_address_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _compared(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = V.contributions(spark, sf_dir).filter(filters.within_dates(f"{YEAR}-01-01", f"{YEAR}-12-31"))
-    return compare.attach_clusters(rows, _named(spark, sf_dir).select("donor", F.col("canonical").alias("canonical_donor")))
+    rows = materialize(rows, "year")
+    return materialize(compare.attach_clusters(rows, clusters.canonicals(rows).select("donor", F.col("canonical").alias("canonical_donor"))), "compared")
 
 
 _COMPARED = f"""{_CANON}, compared AS (SELECT k.*, canonical AS canonical_donor FROM kept k JOIN named USING (donor) WHERE "date" BETWEEN TIMESTAMP '{YEAR}-01-01' AND TIMESTAMP '{YEAR}-12-31'),
@@ -478,17 +491,94 @@ def f8_acronyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.matched(spark, sf_dir).select("donor").distinct().select("donor", N.acronym(F.col("donor")).alias("acronym"))
 
 
-@_query()
+_FORMS = f"""terms AS (SELECT * FROM (VALUES {", ".join(f"('{t}')" for t in _TERMS)}) t(query)),
+listed AS (SELECT query, {O.search_names('query')} AS all_names FROM terms),
+snames AS (SELECT query, unnest(all_names) AS term, unnest(range(len(all_names))) AS pos FROM listed),
+tvar AS (SELECT query, pos, unnest({O.variants('term')}) AS variant FROM snames),
+twide AS (SELECT * FROM tvar UNION SELECT query, pos, f.form FROM tvar v JOIN lookup l ON v.variant = l.form JOIN forms f ON f.group_id = l.group_id),
+dnames AS (SELECT DISTINCT donor FROM matched)"""
+
+
+def _prefix_sql(terms: str) -> str:
+    cut = f"CASE WHEN length(t.variant) <= length(d.variant) THEN t.variant ELSE d.variant END AS s, CASE WHEN length(t.variant) <= length(d.variant) THEN d.variant ELSE t.variant END AS l"
+    return f"""SELECT DISTINCT query, pos, donor FROM (SELECT query, pos, donor, {cut} FROM {terms} t CROSS JOIN widened d)
+  WHERE length(s) >= 2 AND starts_with(l, s) AND (length(s) >= 6 OR ({_NW.format('s')} = 1 AND (l = s OR starts_with(l, s || ' '))))"""
+
+
+_TIERS = f"""hit AS (SELECT DISTINCT query, pos, group_id FROM twide JOIN lookup ON variant = form),
+tiers AS (SELECT query, pos, donor, 0 AS tier, CAST(99.0 AS DOUBLE) AS score, 'alias match' AS match_type FROM hit JOIN forms f USING (group_id) JOIN widened w ON w.variant = f.form
+  UNION SELECT query, pos, donor, 1, 100.0, 'exact match' FROM twide JOIN widened USING (variant)
+  UNION SELECT query, pos, donor, 2, 96.0, 'prefix match' FROM ({_prefix_sql('twide')})
+  UNION SELECT query, pos, donor, 3, score, 'acronym match' FROM (SELECT query, pos, donor, CASE WHEN length(ts) >= 2 AND da <> '' AND ts = da THEN 95.0 WHEN length(ta) >= 2 AND ds = ta THEN 93.0 WHEN length(ta) >= 3 AND da = ta THEN 90.0 END AS score
+    FROM (SELECT query, pos, {O.simple('term')} AS ts, {O.acronym('term')} AS ta FROM snames) CROSS JOIN (SELECT donor, {O.simple('donor')} AS ds, {O.acronym('donor')} AS da FROM dnames)) WHERE score IS NOT NULL)"""
+_SIMILAR = f"""tform AS (SELECT DISTINCT query, pos, unnest({O.stripped('term')}) AS f FROM snames), dform AS (SELECT DISTINCT donor, unnest({O.stripped('donor')}) AS f FROM dnames),
+fpairs AS (SELECT DISTINCT t.f AS x, d.f AS y FROM tform t CROSS JOIN dform d WHERE length(t.f) >= 2 AND length(d.f) >= 2),{O.subsequences('fpairs', 'whole')},{O.best_windows('fpairs', 'part')},
+alike AS (SELECT query, pos, donor, max(greatest(w.ratio, p.ratio)) AS score FROM tform t CROSS JOIN dform d JOIN whole w ON w.x = t.f AND w.y = d.f JOIN part p ON p.x = t.f AND p.y = d.f
+  WHERE (query, pos, donor) NOT IN (SELECT (query, pos, donor) FROM tiers) GROUP BY 1, 2, 3),
+met_all AS (SELECT * FROM tiers UNION ALL SELECT query, pos, donor, 4, score, 'fuzzy match' FROM alike WHERE score >= 72)"""
+_EQUAL = "met_all AS (SELECT * FROM tiers)"
+_MATCHES = f"""first_met AS (SELECT query, donor, score, match_type FROM (SELECT *, row_number() OVER (PARTITION BY query, donor ORDER BY pos, tier, score DESC, match_type) AS place FROM met_all) WHERE place = 1),
+bare AS (SELECT query, pos, {O.normalized('term')} AS plain FROM snames WHERE query NOT IN (SELECT query FROM first_met GROUP BY query HAVING count(*) >= 5)),
+bvar AS (SELECT query, pos, unnest({O.variants(O.geo('plain'))}) AS variant FROM bare WHERE {O.geo('plain')} NOT IN ('', plain)),
+bwide AS (SELECT * FROM bvar UNION SELECT query, pos, f.form FROM bvar v JOIN lookup l ON v.variant = l.form JOIN forms f ON f.group_id = l.group_id),
+geo_met AS (SELECT query, pos, donor, 0 AS tier, 'geo-variant match' AS match_type FROM bwide JOIN widened USING (variant) UNION SELECT query, pos, donor, 1, 'geo-prefix match' FROM ({_prefix_sql('bwide')})),
+matches AS (SELECT * FROM first_met UNION ALL SELECT query, donor, CAST(94.0 AS DOUBLE), match_type FROM (SELECT *, row_number() OVER (PARTITION BY query, donor ORDER BY pos, tier) AS place FROM geo_met
+  WHERE (query, donor) NOT IN (SELECT (query, donor) FROM first_met)) WHERE place = 1)"""
+_FOUND = "few AS (SELECT donor, street, state, zip5 FROM idx WHERE (street, state, zip5) IN (SELECT (street, state, zip5) FROM idx GROUP BY street, state, zip5 HAVING count(DISTINCT donor) <= 5)), " + """
+strong AS (SELECT DISTINCT query, street, state, zip5 FROM matches JOIN few USING (donor) WHERE score >= 86),
+lifted AS (SELECT DISTINCT query, donor FROM matches JOIN few USING (donor) JOIN strong USING (query, street, state, zip5) WHERE score BETWEEN 72 AND 85),
+confirmed AS (SELECT m.query, m.donor, CASE WHEN l.donor IS NULL THEN score ELSE 88.0 END AS score, CASE WHEN l.donor IS NULL THEN match_type ELSE 'address-confirmed ' || match_type END AS match_type
+  FROM matches m LEFT JOIN lifted l ON l.query = m.query AND l.donor = m.donor),
+near_by AS (SELECT DISTINCT query, donor, 85.0 AS score, 'address match' AS match_type FROM strong JOIN few USING (street, state, zip5) WHERE (query, donor) NOT IN (SELECT (query, donor) FROM matches))"""
+_MATCH = "query, donor, CAST(round(score, 4) AS DOUBLE) AS score, match_type"
+
+
+def _matches_shown(df: DataFrame) -> DataFrame:
+    return df.withColumn("score", F.round("score", 4))
+
+
+@_query(O.query(f"SELECT {_MATCH} FROM matches", f"{_ALIAS},{_FORMS},{_TIERS},{_SIMILAR},{_MATCHES}"))
 def j15_u3_w2_search_donors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Donors that match a batch of terms, before addresses."""
-    return search.search_donors(_terms(spark), V.matched(spark, sf_dir).select("donor"), _groups(spark))
+    return _matches_shown(search.search_donors(_terms(spark), V.matched(spark, sf_dir).select("donor"), _groups(spark)))
+
 
+@_query(O.query(f"SELECT {_MATCH} FROM matches", f"{_ALIAS},{_FORMS},{_TIERS},{_EQUAL},{_MATCHES}"))
+def j15_equal_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by equality alone: alias, exact, prefix and acronym tiers, and names without their place."""
+    return _matches_shown(search.search_donors(_terms(spark), V.matched(spark, sf_dir).select("donor"), _groups(spark), fuzzy=False))
 
-@_query()
+
+@_query(O.query(f"SELECT {_MATCH} FROM (SELECT * FROM confirmed UNION ALL SELECT * FROM near_by)", f"{_ALIAS},{_FORMS},{_TIERS},{_SIMILAR},{_MATCHES},{_INDEX},{_FOUND}"))
 def j16_j17_t4_u4_find_donors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with what addresses add, best first."""
-    rows = V.matched(spark, sf_dir)
-    return search.find_donors(_terms(spark), rows.select("donor"), _groups(spark), addresses.address_index(rows))
+    rows = materialize(V.matched(spark, sf_dir), "matched")
+    return _matches_shown(search.find_donors(_terms(spark), rows.select("donor"), _groups(spark), addresses.address_index(rows)))
+
+
+_SCORED = "matches AS (SELECT 'q' || (length(donor) % 3) AS query, donor, CAST(60 + (length(donor) * 7 + strpos(donor, 'a')) % 41 AS DOUBLE) AS score, 'some match' AS match_type FROM (SELECT DISTINCT donor FROM matched WHERE is_company))"
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Matches of all scores, made of the donors' names, and the address index."""
+    rows = materialize(V.matched(spark, sf_dir).filter("is_company"), "companies")
+    d = F.col("donor")
+    made = rows.select("donor").distinct().select(
+        F.concat(F.lit("q"), (F.length(d) % 3).cast("string")).alias("query"), "donor", (60 + (F.length(d) * 7 + F.instr(d, "a")) % 41).cast("double").alias("score"), F.lit("some match").alias("match_type")
+    )
+    return made, addresses.address_index(rows)
+
+
+@_query(O.query(f"SELECT {_MATCH} FROM confirmed", f"{_INDEX},{_SCORED},{_FOUND}"))
+def j16_address_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches of all scores, the borderline ones lifted by addresses."""
+    return search.address_confidence(*_scored(spark, sf_dir))
+
+
+@_query(O.query(f"SELECT {_MATCH} FROM near_by", f"{_INDEX},{_SCORED},{_FOUND}"))
+def j17_u4_colocated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Donors that share an address with a strong match."""
+    return search.colocated_donors(*_scored(spark, sf_dir))
 
 
 def queries() -> dict:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from donorloom.operators.rollup import CONTRIBUTION_COLUMNS, matched_rows
-from donorloom.operators.shared import ship_package
+from donorloom.operators.shared import materialize, ship_package
 from donorloom.operators.supersession import drop_superseded
 from donorloom.sources.filings import registry
 
@@ -72,9 +72,13 @@ def matched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    src = contributions_src(spark, sf_dir)
-    rows = matched_rows(src, parents(spark), affiliated(spark))
-    return drop_superseded(rows, registry(registry_src(src)), ein="own_ein")
+    return kept_of(materialize(matched(spark, sf_dir), "matched"))
+
+
+def kept_of(rows: DataFrame) -> DataFrame:
+    """Matched rows less the superseded ones. A form is one recipient's, so its rows are all matched or none is, and the
+    registry can be made of the matched rows."""
+    return drop_superseded(rows, registry(registry_src(rows)), ein="own_ein")
 
 
 def contributions(spark: SparkSession, sf_dir: str) -> DataFrame:

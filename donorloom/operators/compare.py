@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from donorloom.operators.shared import materialize
+
 
 def attach_clusters(df: DataFrame, clusters: DataFrame) -> DataFrame:
     """``df`` with ``canonical_donor``; rows without a donor have none."""
@@ -13,7 +15,8 @@ def attach_clusters(df: DataFrame, clusters: DataFrame) -> DataFrame:
 
 
 def donor_recipient_sums(df: DataFrame) -> DataFrame:
-    """Sums a cluster, donor, type and recipient: everything that a comparison needs, in one shuffle of the rows."""
+    """Sums and rows ``n`` of each cluster, donor, type and recipient: everything that a comparison needs, in one shuffle of the
+    rows. The functions below take such sums as well as rows."""
     return df.filter("canonical_donor is not null").groupBy("canonical_donor", "donor", "donor_type", "recipient").agg(F.sum("amount").alias("amount"), F.count("*").alias("n"))
 
 
@@ -33,7 +36,8 @@ def qualifying(df: DataFrame, a: list[str], b: list[str], least_a: float = 1000,
 
 def display_names(df: DataFrame) -> DataFrame:
     """``(canonical_donor, display_name, n)``: each cluster's most frequent donor, the first by name among equals."""
-    counts = df.filter("canonical_donor is not null").groupBy("canonical_donor", "donor").agg(F.count("*").alias("n"))
+    rows = F.sum("n") if "n" in df.columns else F.count("*")
+    counts = df.filter("canonical_donor is not null").groupBy("canonical_donor", "donor").agg(rows.alias("n"))
     order = W.partitionBy("canonical_donor").orderBy(F.desc("n"), "donor")
     return counts.withColumn("place", F.row_number().over(order)).filter("place = 1").select("canonical_donor", F.col("donor").alias("display_name"), "n")
 
@@ -47,13 +51,15 @@ def donor_recipient_matrix(df: DataFrame, recipients: list[str]) -> DataFrame:
 
 
 def compare(df: DataFrame, a: list[str], b: list[str], least_a: float = 1000, most_b: float = 0) -> dict[str, DataFrame]:
-    """The comparison: qualifying clusters, their matrix by donor type with display names, and their line items."""
-    chosen = qualifying(df, a, b, least_a, most_b)
+    """The comparison: qualifying clusters, their matrix by donor type with display names, and their line items. The rows are
+    summed once; they themselves are read again for the line items only."""
+    sums = materialize(donor_recipient_sums(df), "sums")
+    chosen = materialize(qualifying(sums, a, b, least_a, most_b), "qualifying")
     both = list(dict.fromkeys([*a, *b]))
-    rows = df.join(chosen, "canonical_donor", "left_semi")
-    names = display_names(rows)
+    rows, own = (x.join(chosen, "canonical_donor", "left_semi") for x in (df, sums))
+    names = display_names(own)
     out = {"qualifying": chosen, "names": names, "line_items": rows.filter(F.col("recipient").isin(*both))}
     for kind in ("Individual", "Non-Individual"):
-        matrix = donor_recipient_matrix(rows.filter(F.col("donor_type") == kind), both)
+        matrix = donor_recipient_matrix(own.filter(F.col("donor_type") == kind), both)
         out[kind] = matrix.join(names.select("canonical_donor", "display_name"), "canonical_donor")
     return out

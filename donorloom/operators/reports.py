@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from donorloom.operators.shared import materialize
+
 # Columns of a list of contributions and their headings.
 HEADINGS = {
     "donor_type": "Donor Type", "donor": "Donor", "employer": "Employer", "occupation": "Occupation", "street": "Street", "city": "City",
@@ -48,24 +50,20 @@ def distinct_donors(df: DataFrame) -> DataFrame:
 def build_report(raw: DataFrame, matched: DataFrame, kept: DataFrame) -> DataFrame:
     """``(section, item, n)``: rows scanned, matched, removed and kept; and of the matched rows the number by class, by
     affiliate, and by parent and year of filing ('?': no date)."""
-    n = F.count("*").alias("n")
+    year = F.coalesce(F.substr("filing_day", F.lit(1), F.lit(4)), F.lit("?"))
+    cells = matched.groupBy("donor_type", "own_ein", "recipient_ein", year.alias("year")).agg(F.count("*").alias("n"))
+    cells = materialize(cells, "cells")  # each frame is read once
+    left = materialize(kept.agg(F.count("*").alias("n")), "kept-count")
 
     def part(df: DataFrame, section: str, item: Column) -> DataFrame:
-        return df.groupBy(item.alias("item")).agg(n).select(F.lit(section).alias("section"), "item", "n")
-
-    year = F.coalesce(F.substr("filing_day", F.lit(1), F.lit(4)), F.lit("?"))
-    counts = [raw.agg(n).select(F.lit("rows").alias("section"), F.lit("scanned").alias("item"), "n")]
-    counts.append(matched.agg(n).select(F.lit("rows"), F.lit("matched"), "n"))
-    counts.append(kept.agg(n).select(F.lit("rows"), F.lit("kept"), "n"))
-    removed = matched.agg(n).crossJoin(kept.agg(F.count("*").alias("k"))).select(F.lit("rows"), F.lit("removed"), (F.col("n") - F.col("k")).alias("n"))
-    counts.append(removed)  # two single rows
-    counts.append(part(matched, "class", F.col("donor_type")))
-    counts.append(part(matched.filter("own_ein != recipient_ein"), "affiliate", F.concat_ws(" -> ", "own_ein", "recipient_ein")))
-    counts.append(part(matched, "parent year", F.concat_ws(" ", "recipient_ein", year)))
-    out = counts[0]
-    for c in counts[1:]:
-        out = out.union(c)
-    return out
+        return df.groupBy(item.alias("item")).agg(F.sum("n").alias("n")).select(F.lit(section).alias("section"), "item", "n")
+
+    scanned = raw.agg(F.count("*").alias("n")).select(F.lit("rows").alias("section"), F.lit("scanned").alias("item"), "n")
+    total = cells.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    gone = total.union(left.select(-F.col("n"))).agg(F.sum("n").alias("n"))
+    out = scanned.union(total.select(F.lit("rows"), F.lit("matched"), "n")).union(left.select(F.lit("rows"), F.lit("kept"), "n")).union(gone.select(F.lit("rows"), F.lit("removed"), "n"))
+    out = out.union(part(cells, "class", F.col("donor_type"))).union(part(cells.filter("own_ein != recipient_ein"), "affiliate", F.concat_ws(" -> ", "own_ein", "recipient_ein")))
+    return out.union(part(cells, "parent year", F.concat_ws(" ", "recipient_ein", "year")))
 
 
 def display(df: DataFrame) -> DataFrame:

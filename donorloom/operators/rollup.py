@@ -35,14 +35,12 @@ def name_recipients(df: DataFrame, parents: DataFrame) -> DataFrame:
 def matched_rows(raw: DataFrame, parents: DataFrame, affiliated: DataFrame) -> DataFrame:
     """Raw rows of the targets with every clean column, before supersession; keeps form, period and own EIN."""
     rows = name_recipients(rollup_affiliates(filter_targets(raw, parents, affiliated), affiliated), parents)
-    rows = rows.withColumn("donor_type", C.classify_donor(F.col("contributor_name"), F.col("employer"), F.col("occupation")))
-    name = C.split_person_name(F.col("contributor_name"), F.col("donor_type"))
+    rows = C.with_donor_columns(rows).withColumn("filing_day", C.filing_day(F.col("date"), F.col("period_end")))
     return rows.select(
-        F.col("contributor_name").alias("donor"), name["last"].alias("last"), name["first"].alias("first"), (F.col("donor_type") == C.ORGANIZATION).alias("is_company"),
-        "donor_type", C.blank_nullish(F.col("employer")).alias("employer"), C.blank_nullish(F.col("occupation")).alias("occupation"),
+        F.col("contributor_name").alias("donor"), "last", "first", (F.col("donor_type") == C.ORGANIZATION).alias("is_company"), "donor_type", "employer", "occupation",
         C.clean_text(F.col("address")).alias("street"), C.clean_text(F.col("city")).alias("city"), C.clean_text(F.col("state")).alias("state"),
-        C.clean_text(F.col("zipcode")).alias("zip_code"), C.parse_amount(F.col("amount")).alias("amount"), C.parse_filing_date(F.col("date"), F.col("period_end")).alias("date"),
-        C.filing_day(F.col("date"), F.col("period_end")).alias("filing_day"), "recipient", "recipient_party", F.col("parent_ein").alias("recipient_ein"), "affiliated_from",
+        C.clean_text(F.col("zipcode")).alias("zip_code"), C.parse_amount(F.col("amount")).alias("amount"), C.day_timestamp(F.col("filing_day")).alias("date"),
+        "filing_day", "recipient", "recipient_party", F.col("parent_ein").alias("recipient_ein"), "affiliated_from",
         F.col("recipient_ein").alias("own_ein"), "form_id", "period_begin", "period_end",
     )
 

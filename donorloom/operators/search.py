@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from donorloom.functions import names as N
 from donorloom.functions.cleaning import strip
-from donorloom.functions.similarity import indel_ratio, partial_ratio
+from donorloom.functions.similarity import partial_ratios, ratios
 from donorloom.operators.addresses import shared_keys
 from donorloom.operators.aliases import alias_forms, group_forms, with_aliases
 from donorloom.operators.clusters import n_words
@@ -62,8 +64,8 @@ def search_donors(terms: DataFrame, donors: DataFrame, groups: DataFrame, fuzzy:
 
     A donor's score is that of the first search name of the query that reaches 72, by the first tier that it
     reaches there: alias 99, exact 100, prefix 96, acronym 95, 93 or 90, similarity. Queries with fewer than five
-    matches also match without the place in their name. Tiers of equality are joins; only acronyms and similarity
-    compare all terms with all donors that are left, terms being sent to every executor.
+    matches also match without the place in their name. Tiers of equality, acronyms too, are joins; for similarity the
+    terms (at most TERMS, more raise) are sent to every executor.
     """
     if terms.limit(TERMS + 1).count() > TERMS:
         raise ValueError(f"more than {TERMS} search terms; search them in batches")
@@ -80,25 +82,82 @@ def search_donors(terms: DataFrame, donors: DataFrame, groups: DataFrame, fuzzy:
         _exact(term_forms, donor_forms, key).select(*key, "donor", F.lit(1), F.lit(100.0), F.lit("exact match")),
         _prefix(term_forms, donor_forms, key).select(*key, "donor", F.lit(2), F.lit(96.0), F.lit("prefix match")),
     ]
-    sent = F.broadcast(names.select("query", "pos", F.col("forms").alias("t_forms"), F.col("acronym").alias("t_acronym"), F.col("simple").alias("t_simple")))
-    acronym = (
-        F.when((F.length("t_simple") >= 2) & (F.col("acronym") != "") & (F.col("t_simple") == F.col("acronym")), 95.0)
-        .when((F.length("t_acronym") >= 2) & (F.col("simple") == F.col("t_acronym")), 93.0)
-        .when((F.length("t_acronym") >= 3) & (F.col("acronym") == F.col("t_acronym")), 90.0)
-    )
-    met = dim.join(sent, acronym.isNotNull()).select(*key, "donor", F.lit(3), acronym, F.lit("acronym match"))
-    found = tiers[0].union(tiers[1]).union(tiers[2]).union(met)
+    term = names.select(*key, F.col("acronym").alias("t_acronym"), F.col("simple").alias("t_simple"))
+    acronyms = [
+        (term.filter("length(t_simple) >= 2"), dim.filter("acronym != ''"), F.col("t_simple") == F.col("acronym"), 95.0),
+        (term.filter("length(t_acronym) >= 2"), dim, F.col("simple") == F.col("t_acronym"), 93.0),
+        (term.filter("length(t_acronym) >= 3"), dim, F.col("acronym") == F.col("t_acronym"), 90.0),
+    ]
+    for some, donors_, equal, score in acronyms:
+        tiers.append(some.join(donors_, equal).select(*key, "donor", F.lit(3), F.lit(score), F.lit("acronym match")))
+    found = tiers[0]
+    for t in tiers[1:]:
+        found = found.union(t)
+    found = materialize(found, "equal-matches")
     if fuzzy:
-        best = found.select(*key, "donor").distinct()
-        rest = dim.select("donor", "forms").join(sent.select("query", "pos", "t_forms"), how="cross").join(best, [*key, "donor"], "left_anti")
-        pairs = rest.select(*key, "donor", F.explode("t_forms").alias("a"), "forms").select(*key, "donor", "a", F.explode("forms").alias("b")).filter((F.length("a") >= 2) & (F.length("b") >= 2)).distinct()
-        scored = pairs.withColumn("score", F.greatest(indel_ratio(F.col("a"), F.col("b")), partial_ratio(F.col("a"), F.col("b"))))
-        similar = scored.groupBy(*key, "donor").agg(F.max("score").alias("score")).filter(F.col("score") >= KEEP)
-        found = found.union(similar.select(*key, "donor", F.lit(4), "score", F.lit("fuzzy match")))
+        found = found.union(_similar(dim, names, found).select(*key, "donor", F.lit(4), "score", F.lit("fuzzy match")))
     first = first_match(found)
     return materialize(first.union(_without_place(names, first, donor_forms, groups)), "matches")
 
 
+def _letters(forms: list[str]) -> np.ndarray:
+    """How often each character is in a form, characters in 64 bins."""
+    out = np.zeros((len(forms), 64), np.uint8)
+    for row, form in zip(out, forms, strict=True):
+        for c in form[:255]:
+            row[ord(c) & 63] += 1
+    return out
+
+
+def _similar(dim: DataFrame, names: DataFrame, found: DataFrame) -> DataFrame:
+    """``(query, pos, donor, score)`` of the terms that no earlier tier has found a donor for and that are similar to it: the
+    best ratio of their forms.
+
+    The forms of all terms are at each task. A donor's form meets only those that share so many characters that the
+    ratio can reach KEEP: no window's subsequence is longer than the characters that two strings share, nor than the window.
+    Terms found already are an array at the donor.
+    """
+    rows = names.select("query", "pos", "forms").orderBy("query", "pos").collect()  # at most TERMS queries
+    forms = sorted({(i, f) for i, r in enumerate(rows) for f in r["forms"] if len(f) >= 2})
+    owner, texts = np.array([i for i, _ in forms], np.int64), [f for _, f in forms]
+    sent = dim.sparkSession.sparkContext.broadcast((owner, texts, np.array([len(t) for t in texts], np.int64), _letters(texts)))
+    places = names.sparkSession.createDataFrame([(i, r["query"], r["pos"]) for i, r in enumerate(rows)], "term int, query string, pos int")
+    done = found.select("query", "pos", "donor").distinct().join(F.broadcast(places), ["query", "pos"]).groupBy("donor").agg(F.collect_set("term").alias("done"))
+
+    def run(batches):
+        owner, texts, size, letters = sent.value
+        for b in batches:
+            out: dict[tuple[str, int], float] = {}
+            left, right, where = [], [], []
+
+            def compare():
+                if left:
+                    for k, x in zip(where, np.maximum(ratios(left, right), partial_ratios(left, right)).tolist(), strict=True):
+                        if x >= KEEP:
+                            out[k] = max(x, out.get(k, 0.0))
+                for x in (left, right, where):
+                    x.clear()
+
+            for donor, own, seen in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                own = sorted({f for f in own if len(f) >= 2})
+                skip = np.isin(owner, seen or [])
+                for f, counts in zip(own, _letters(own), strict=True):
+                    shared = np.minimum(letters, counts).sum(axis=1, dtype=np.int64)
+                    bound = 200 * shared >= KEEP * (np.minimum(size, len(f)) + shared)
+                    for i in np.flatnonzero((bound | (max(len(f), int(size.max(initial=0))) > 255)) & ~skip).tolist():
+                        left.append(texts[i])
+                        right.append(f)
+                        where.append((donor, int(owner[i])))
+                if len(left) > 20_000:
+                    compare()
+            compare()
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in out]), pa.array([k[1] for k in out], pa.int32()), pa.array(list(out.values()), pa.float64())], ["donor", "term", "score"])
+
+    rest = dim.select("donor", "forms").join(done, "donor", "left")
+    return rest.mapInArrow(run, "donor string, term int, score double").join(F.broadcast(places), "term").select("query", "pos", "donor", "score")
+
+
 def first_match(found: DataFrame) -> DataFrame:
     """Of each query and donor, the match of the first search name, by its first tier, then its best score."""
     order = W.partitionBy("query", "donor").orderBy("pos", "tier", F.desc("score"), "match_type")
