@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,8 @@ from donorloom.functions.similarity import indel_ratio, partial_ratio
 from donorloom.jobs import oracles as O
 from donorloom.jobs import views as V
 from donorloom.operators import addresses, aliases, clusters, compare, filters, reconcile, reports, rollup, search, supersession
-from donorloom.operators.shared import materialize
+from donorloom.operators.shared import materialize, shared_dir
+from donorloom.sources import filings, sinks
 from donorloom.sources.filings import registry
 
 _QUERIES: dict = {}
@@ -298,8 +301,7 @@ def j9_fuzzy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def j6_group_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Donors that a table of validated groups has; the table is derived from the names here."""
     named = _named(spark, sf_dir)
-    lookup = named.filter(F.col("donor").endswith("Inc.")).select(F.upper("donor").alias("donor_upper"), F.substr("donor", F.lit(1), F.lit(3)).alias("donor_group"))
-    return clusters.group_members(named, lookup)
+    return clusters.group_members(named, _validated(named))
 
 
 _MEMBERS = f"""candidates AS (SELECT donor, canonical, unnest([canonical, {O.no_the(O.no_legal(O.normalized('donor')))}, {O.no_the(O.no_legal(O.contracted(O.normalized('donor'))))}, {O.normalized('donor')}, {O.no_legal(O.normalized('donor'))}]) AS form,
@@ -581,6 +583,128 @@ def j17_u4_colocated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.colocated_donors(*_scored(spark, sf_dir))
 
 
+# All links of clusters at once
+
+_ALL_EDGES = """group_of AS (SELECT DISTINCT canonical, substr(donor, 1, 3) AS donor_group FROM named WHERE donor LIKE '%Inc.'),
+edges AS (SELECT a, b FROM prefixed UNION SELECT a, b FROM close JOIN ratios ON id = a || '|' || b WHERE ratio >= threshold
+  UNION SELECT a, b FROM close JOIN ratios ON id = a || '|' || b JOIN same_place USING (a, b) WHERE ratio >= threshold - 5 AND ratio < threshold
+  UNION SELECT x.canonical, y.canonical FROM members x JOIN members y ON x.group_id = y.group_id AND x.canonical <> y.canonical
+  UNION SELECT x.canonical, y.canonical FROM group_of x JOIN group_of y ON x.donor_group = y.donor_group AND x.canonical <> y.canonical),
+both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+reach AS (SELECT canonical AS n, canonical AS m FROM names UNION SELECT n, b FROM reach JOIN both_ways ON m = a),
+label AS (SELECT n, arg_min(m, (length(m), m)) AS canonical_donor FROM reach GROUP BY n)"""
+
+
+def _validated(named: DataFrame) -> DataFrame:
+    """A table of validated groups derived from the names: those on Inc., by their first three letters."""
+    return named.filter(F.col("donor").endswith("Inc.")).select(F.upper("donor").alias("donor_upper"), F.substr("donor", F.lit(1), F.lit(3)).alias("donor_group"))
+
+
+@_query(O.query("SELECT donor, canonical_donor FROM named JOIN label ON canonical = n", f"{_CANON},{_PREFIX},{_FUZZY},{_PLACES},{_ALIAS},{_MEMBERS},{_ALL_EDGES}"))
+def j18_all_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Donors and their clusters by every kind of link: canonical names, alias and validated groups, prefixes, similarity and,
+    for borderline pairs, addresses."""
+    rows = materialize(V.matched(spark, sf_dir), "matched")
+    return clusters.cluster_donors(rows.select("donor"), clusters.raw_addresses(rows), _validated(clusters.canonicals(rows)), _groups(spark))
+
+
+# Round trips through files: written under the shared folder, read by the library's readers
+
+
+def _path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@_query(O.query("SELECT contributor_name, employer, occupation, address, city, state, zipcode, amount, date, period_begin, period_end, recipient_ein, recipient_name, form_id FROM contributions_src"))
+def s1_raw_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw filings through gzip CSV, where blank and missing are one."""
+    path = _path(spark, "raw")
+    V.contributions_src(spark, sf_dir).write.option("header", True).option("escape", '"').option("compression", "gzip").csv(path)
+    return filings.read_raw_contributions(spark, path).na.fill("")
+
+
+@_query(O.query("SELECT form_id, insert_key FROM form_registry"))
+def s2_registry_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registry of forms through CSV."""
+    path = _path(spark, "registry")
+    V.registry_src(V.contributions_src(spark, sf_dir)).write.option("header", True).csv(path)
+    return filings.read_form_registry(spark, path)
+
+
+@_query(O.query(f"""SELECT {_COLUMNS}, strftime("date", '%Y-%m-%d') AS day FROM kept"""))
+def s3_s6_contributions_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clean table through Parquet."""
+    path = _path(spark, "contributions")
+    sinks.write_contributions(V.contributions(spark, sf_dir), path)
+    return filings.read_contributions(spark, path).withColumn("day", F.date_format("date", "yyyy-MM-dd")).drop("date")
+
+
+@_query(O.query("SELECT upper(donor) AS donor_upper, max(substr(donor, 1, 3)) AS donor_group FROM matched WHERE donor LIKE '%Inc.' OR donor LIKE '%LLC' GROUP BY 1"))
+def s4_s8_donor_groups_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Validated groups from both forms of JSON, through Parquet."""
+    donors = V.matched(spark, sf_dir).select("donor").distinct()
+    pair = F.struct("donor", F.substr("donor", F.lit(1), F.lit(3)).alias("donor_group"))
+    paths = [_path(spark, name) for name in ("object", "list", "groups")]
+    donors.filter(F.col("donor").endswith("Inc.")).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.upper("donor"), pair["donor_group"])))).alias("value")).write.text(paths[0])
+    donors.filter(F.col("donor").endswith("LLC")).agg(F.to_json(F.collect_list(pair)).alias("value")).write.text(paths[1])
+    read = [filings.read_donor_groups(spark, p) for p in paths[:2]]
+    sinks.write_donor_groups(read[0].union(read[1]), paths[2])
+    return spark.read.parquet(paths[2])
+
+
+@_query("SELECT DISTINCT p_name AS company, CAST(1000 + length(p_name) AS DOUBLE) AS xl_a, CAST(strpos(p_name, 'a') AS DOUBLE) AS xl_b FROM part")
+def s5_answer_key_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An answer key with printed dollars through CSV; rows without a name or amounts are left out."""
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_name").distinct()
+    n = F.col("p_name")
+    rows = parts.select(F.concat(F.lit(" "), n).alias("Company Name"), F.concat(F.lit("$1,0"), F.lpad(F.length(n).cast("string"), 2, "0")).alias("A"), F.concat(F.lit("("), F.instr(n, "a").cast("string"), F.lit(")")).alias("B"))
+    path = _path(spark, "key")
+    rows.union(rows.select(F.lit(" "), "A", "B")).union(rows.select("`Company Name`", F.lit("0"), F.lit("x"))).write.option("header", True).csv(path)
+    return filings.read_answer_key(spark, path, "Company Name", "A", "B")
+
+
+@_query(_SQL["a1_recipient_summary"])
+def s7_summary_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals by recipient and year through Parquet."""
+    path = _path(spark, "summary")
+    sinks.write_recipient_summary(reports.recipient_summary(V.contributions(spark, sf_dir)), path)
+    return spark.read.parquet(path)
+
+
+@_query(_SQL["p15_p16_t1_line_items"])
+def s9_line_items_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 5000 line items of organizations through CSV, where blank and missing are one (no date of these is missing)."""
+    path = _path(spark, "items")
+    items = reports.line_items(filters.split_by_type(V.contributions(spark, sf_dir))[1])
+    sinks.export_line_items(items, path)
+    return spark.read.option("header", True).option("inferSchema", False).option("escape", '"').csv(path).select(*(F.col(f"`{c}`").cast(t) for c, t in items.dtypes)).na.fill("", ["Employer", "Occupation"])
+
+
+@_query(_SQL["a7_t3_breakdown"])
+def s10_breakdown_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of recipients within their party through CSV."""
+    path = _path(spark, "breakdown")
+    rows = reports.recipient_breakdown(V.contributions(spark, sf_dir))
+    sinks.export_summary(rows, path)
+    return spark.read.option("header", True).csv(path).select(*(F.col(c).cast(t) for c, t in rows.dtypes))
+
+
+@_query(O.query(f"SELECT *, CAST({YEAR} AS INTEGER) AS year FROM sheet", _SHEET))
+def s11_qc_sheet_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sheet of a year through Parquet."""
+    path = _path(spark, "sheet")
+    donors, key = _qc_parts(spark, sf_dir)
+    sinks.write_qc_sheet(reconcile.qc_sheet(key, donors).withColumn("year", F.lit(YEAR)), path)
+    return spark.read.parquet(path)
+
+
+@_query(O.query("SELECT donor, CAST(count(*) AS BIGINT) AS places FROM idx GROUP BY donor", _INDEX))
+def a14_addresses_of_donors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many address keys each company donor has."""
+    index = addresses.address_index(V.matched(spark, sf_dir))
+    return addresses.addresses_of(index).select("donor", F.size("addresses").cast("long").alias("places"))
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 
