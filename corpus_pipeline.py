@@ -16,10 +16,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from donorloom.llm.decontaminate import find_leaks
+from donorloom.llm.decontaminate import drop_leaks
 from donorloom.llm.language_id import identify
 from donorloom.llm.mixing import mix
-from donorloom.llm.ngram_join import linked_rows, row_key
+from donorloom.llm.ngram_join import linked_rows
+from donorloom.llm.rows import row_key
 from donorloom.llm.sharding import shard_by_bytes
 from donorloom.operators.shared import materialize, ship_package
 
@@ -60,8 +61,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    leaks = find_leaks(_keyed(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), coverage=0.5, seed=5, id_col="row")
-    return _without(docs, leaks.select(F.col("doc_id").alias("row")))
+    return drop_leaks(_rows(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), coverage=0.5, seed=5)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
