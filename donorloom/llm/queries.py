@@ -121,5 +121,26 @@ FROM u GROUP BY conv_id
 """
 
 
+#: Shingles of every text, all pairs of documents that share one, and what links reach.
+_OP3 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                      ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' '))) END AS s FROM w
+), sets AS (
+  SELECT doc_id, len(s) AS n, md5(array_to_string(list_sort(s), chr(10))) AS whole, s FROM s
+), one AS (  -- equal sets are one node
+  SELECT whole, any_value(n) AS n, any_value(s) AS s, min(doc_id) AS least FROM sets WHERE n > 0 GROUP BY whole
+), t AS (SELECT whole, unnest(s) AS x FROM one),
+pairs AS (SELECT a.whole AS a, b.whole AS b, count(*) AS shared FROM t a JOIN t b ON a.x = b.x AND a.whole < b.whole GROUP BY 1, 2),
+links AS (SELECT p.a, p.b FROM pairs p JOIN one x ON x.whole = p.a JOIN one y ON y.whole = p.b WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT whole AS i, whole AS j FROM one UNION SELECT i, b FROM reach JOIN ways ON j = a),
+found AS (SELECT i AS whole, min(least) AS component_id FROM reach JOIN one ON whole = j GROUP BY i)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, coalesce(component_id, doc_id) AS component_id FROM sets LEFT JOIN found USING (whole)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": _OP2}
+    return {"op2_chat_format": _OP2, "op3_ngram_jaccard": _OP3}
