@@ -1,10 +1,10 @@
 """Homomorphic multiset fingerprints of texts, with Spark expressions alone.
 
 A text is the multiset of its paragraphs (lines), a paragraph that of its clauses: pieces that end after stops, or after 32
-characters. A clause is hashed to 124 bits; the vector of a paragraph counts, for each bit, the clauses that have it set,
-packed as 62 numbers of two lanes of 31 bits. Vectors are added modulo 2**62, so that of a text is the sum of its
-paragraphs', order does not count, and paragraphs can be put in or taken out. A text has fewer than 2**31 clauses, whatever
-its length, so no lane of it overflows. As every bit is a random vote of a clause, the cosine of two vectors, votes counted
+characters. A clause is hashed to 120 bits (of its MD5 sum); the vector of a paragraph counts, for each bit, the clauses that
+have it set, packed as 60 numbers of two lanes of 30 bits. Vectors are added modulo 2**60, so that of a text is the sum of
+its paragraphs', order does not count, and paragraphs can be put in or taken out. A clause and what parts it from the next
+take two bytes at least, so a text (2 GB at most) has fewer than 2**30 of them and no lane of it overflows. As every bit is a random vote of a clause, the cosine of two vectors, votes counted
 as +1 and -1, estimates how much of the texts agrees.
 """
 
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from donorloom.operators.shared import materialize
 
 CLAUSE = r"[^.,;:!?|]{0,31}[.,;:!?|]+ *|[^.,;:!?|]{1,32}"
-STEPS, WIDTH = 31, 31
+STEPS, WIDTH = 30, 30
 _PICK = 1 | (1 << WIDTH)
 _MODULO = (1 << (2 * WIDTH)) - 1
 _LANE = (1 << WIDTH) - 1
@@ -27,8 +27,9 @@ BUCKET_ROWS, FAN = 2000, 1024
 SENT_HEADS = 1 << 18
 
 
-def _hashes(clause: Column) -> tuple[Column, Column]:
-    return F.xxhash64(clause), F.xxhash64(F.lit(1), clause)
+def _halves(digits: Column) -> tuple[Column, Column]:
+    """60 bits of each half of a sum's 32 hexadecimal digits."""
+    return tuple(F.conv(F.substr(digits, F.lit(at), F.lit(15)), 16, 10).cast("long") for at in (1, 17))
 
 
 def _lane(x: Column, j: int) -> Column:
@@ -40,7 +41,7 @@ def vector(text: Column) -> Column:
     go through ``vectors``, which gives the same."""
     lines = F.split(F.coalesce(text, F.lit("")), "\n")
     clauses = F.flatten(F.transform(lines, lambda line: F.regexp_extract_all(line, F.lit(CLAUSE), F.lit(0))))
-    hashes = F.transform(clauses, lambda c: F.struct(*(h.alias(n) for h, n in zip(_hashes(c), "xy", strict=True))))
+    hashes = F.transform(F.transform(clauses, lambda c: F.md5(c.cast("binary"))), lambda d: F.struct(*(h.alias(n) for h, n in zip(_halves(d), "xy", strict=True))))
 
     def packed(h: Column) -> Column:
         def summed(p: str, j: int) -> Column:
@@ -57,7 +58,8 @@ def vectors(rows: DataFrame, text_col: str = "text", name: str = "print") -> Dat
     keys = [c for c in rows.columns if c != text_col]
     lines = rows.select(*keys, F.explode(F.split(F.coalesce(text_col, F.lit("")), "\n")).alias("_line"))
     each = lines.select(*keys, F.posexplode_outer(F.regexp_extract_all("_line", F.lit(CLAUSE), F.lit(0))).alias("_i", "_c"))
-    x, y = (F.when(F.col("_c").isNull(), F.lit(0).cast("long")).otherwise(h) for h in _hashes(F.col("_c")))
+    each = each.withColumn("_d", F.md5(F.col("_c").cast("binary")))
+    x, y = (F.coalesce(h, F.lit(0).cast("long")) for h in _halves(F.col("_d")))
     each = each.select(*keys, F.col("_c").isNotNull().cast("int").alias("_n"), (F.coalesce("_i", F.lit(0)) == 0).cast("int").alias("_first"), x.alias("_x"), y.alias("_y"))
     sums = {f"_{p}{j}": F.sum(_lane(F.col(f"_{p}"), j)) for p in "xy" for j in range(STEPS)}
     summed = each.groupBy(*keys).agg(F.sum("_n").alias("_clauses"), (F.sum("_first") - 1).alias("_breaks"), *(s.alias(n) for n, s in sums.items()))
@@ -80,7 +82,7 @@ def printed(v: Column) -> Column:
 
 
 def votes(v: Column) -> Column:
-    """Bits set less bits not set, for each of the 124 bits."""
+    """Bits set less bits not set, for each of the 120 bits."""
     counts = F.slice(v, 3, 2 * STEPS)
 
     def lane(shift: int) -> Column:

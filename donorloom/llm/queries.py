@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from donorloom.llm import fingerprint
 from donorloom.llm.chat import format_conversations, read_loss, read_turns
 from donorloom.llm.decontaminate import find_leaks
 from donorloom.llm.fingerprint import edited_fingerprints
@@ -84,8 +85,9 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's fingerprint, and that of its text edited with the next one's."""
-    return edited_fingerprints(_table(spark, sf_dir, "documents"))
+    """Every document's fingerprint, and that of its text edited with the next one's; likeness to six digits."""
+    made = edited_fingerprints(_table(spark, sf_dir, "documents"))
+    return made.withColumns({c: F.round(c, 6) for c in ("near_edited", "near_next")})
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,5 +144,31 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, coalesce(component_id, doc_id) A
 """
 
 
+def _op9() -> str:
+    """The fingerprints as SQL: clauses as rows, a sum for each lane."""
+    lanes = [f"CAST(sum(({p} >> {j}) & {1 | 1 << fingerprint.WIDTH}) AS BIGINT) AS {p}{j}" for p in "xy" for j in range(fingerprint.STEPS)]
+    names = [f"{p}{j}" for p in "xy" for j in range(fingerprint.STEPS)]
+    half = "CAST('0x' || substr(d, {}, 15) AS BIGINT)"
+    votes = [f"CAST(2 * (({n} >> {s}) & {(1 << fingerprint.WIDTH) - 1}) - clauses AS DOUBLE)" for s in (0, fingerprint.WIDTH) for n in names]
+    shown = "concat_ws('.', " + ", ".join(f"printf('%X', {n})" for n in ("clauses", "breaks", *names)) + ")"
+    dot = "list_sum(list_transform(list_zip({0}.votes, {1}.votes), lambda z: z[1] * z[2]))"
+    like = "CASE WHEN {0}.shown = {1}.shown THEN 1.0 WHEN {0}.norm * {1}.norm = 0 THEN 0.0 ELSE greatest(0.0, least(1.0, " + dot + " / sqrt({0}.norm * {1}.norm))) END"
+    return f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+following AS (SELECT *, coalesce(lead(text) OVER (ORDER BY doc_id), first_value(text) OVER (ORDER BY doc_id)) AS next, coalesce(lead(doc_id) OVER (ORDER BY doc_id), first_value(doc_id) OVER (ORDER BY doc_id)) AS next_id FROM docs),
+edits AS (SELECT *, substr(text, 1, length(text) - length(text) // 2) || substr(next, 1, length(text) // 2) AS edited FROM following),
+sides AS (SELECT doc_id, 0 AS side, text FROM edits UNION ALL SELECT doc_id, 1, edited FROM edits),
+lines AS (SELECT doc_id, side, unnest(string_split(text, chr(10))) AS line FROM sides),
+pieces AS (SELECT doc_id, side, unnest(CASE WHEN line = '' THEN [NULL] ELSE regexp_extract_all(line, '{fingerprint.CLAUSE}') END) AS c FROM lines),
+bits AS (SELECT doc_id, side, c IS NOT NULL AS piece, coalesce({half.format(1)}, 0) AS x, coalesce({half.format(17)}, 0) AS y FROM (SELECT *, md5(c) AS d FROM pieces)),
+sums AS (SELECT doc_id, side, count(*) FILTER (WHERE piece) AS clauses, {", ".join(lanes)} FROM bits GROUP BY 1, 2),
+made AS (SELECT doc_id, side, {shown} AS shown, [{", ".join(votes)}] AS votes FROM sums JOIN (SELECT doc_id, side, length(text) - length(replace(text, chr(10), '')) AS breaks FROM sides) USING (doc_id, side)),
+prints AS (SELECT *, list_sum(list_transform(votes, lambda v: v * v)) AS norm FROM made)
+SELECT e.doc_id, CAST(length(e.text) AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256, p.shown AS fingerprint, q.shown AS edited_fingerprint,
+       round(CAST({like.format('p', 'q')} AS DOUBLE), 6) AS near_edited, round(CAST({like.format('p', 'n')} AS DOUBLE), 6) AS near_next
+FROM edits e JOIN prints p ON p.doc_id = e.doc_id AND p.side = 0 JOIN prints q ON q.doc_id = e.doc_id AND q.side = 1 JOIN prints n ON n.doc_id = e.next_id AND n.side = 0
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": _OP2, "op3_ngram_jaccard": _OP3}
+    return {"op2_chat_format": _OP2, "op3_ngram_jaccard": _OP3, "op9_fingerprints": _op9()}
