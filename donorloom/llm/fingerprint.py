@@ -4,8 +4,8 @@ A text is the multiset of its paragraphs (lines), a paragraph that of its clause
 characters. A clause is hashed to 120 bits (of its MD5 sum); the vector of a paragraph counts, for each bit, the clauses that
 have it set, packed as 60 numbers of two lanes of 30 bits. Vectors are added modulo 2**60, so that of a text is the sum of
 its paragraphs', order does not count, and paragraphs can be put in or taken out. A clause and what parts it from the next
-take two bytes at least, so a text (2 GB at most) has fewer than 2**30 of them and no lane of it overflows. As every bit is a random vote of a clause, the cosine of two vectors, votes counted
-as +1 and -1, estimates how much of the texts agrees.
+take two bytes at least, so a text (2 GB at most) has fewer than 2**30 of them and no lane of it overflows. As every bit is a
+random vote of a clause, the cosine of two vectors, votes counted as +1 and -1, estimates how much of the texts agrees.
 """
 
 from __future__ import annotations

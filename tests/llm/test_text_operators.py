@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -291,6 +292,81 @@ def test_language_id(spark):
     assert [tuple(r) for r in levels] == [("a.b.example.co", "example.co", "co"), ("", "", ""), ("src1", "src1", "")]
 
 
+def plain_languages(rows_, accept=0.5):
+    """The same fusion, row by row, in floating-point sums over dictionaries."""
+    names = sorted({r[2] for r in rows_ if r[2]})
+    grams = lambda t: language_id._bins(next(X.pieces(pa.array([t]))))[0].tolist() if t else []
+    counts = {n: Counter() for n in names}
+    for _, t, lang, _ in rows_:
+        if lang:
+            counts[lang].update(grams(t))
+    total = {n: sum(c.values()) + language_id.BINS for n, c in counts.items()}
+    rows_host = Counter(((r[3] or "").lower(), r[2]) for r in rows_ if r[2])
+    share = {n: (sum(c for (_, x), c in rows_host.items() if x == n) + 1) / (sum(rows_host.values()) + len(names)) for n in names}
+
+    def level(own, above):
+        n = Counter()
+        for (h, lang), c in rows_host.items():
+            if own(h):
+                n[lang] += c
+        k = language_id.PRIOR_ROWS
+        return {x: (n[x] + k * above[x]) / (sum(n.values()) + k) for x in names}
+
+    out = []
+    for i, t, lang, host in rows_:
+        h = (host or "").lower()
+        suffix, domain = (h.rsplit(".", 1)[-1] if "." in h else ""), ".".join(h.split(".")[-2:])
+        of = lambda x: (x.rsplit(".", 1)[-1] if "." in x else "", ".".join(x.split(".")[-2:]))
+        prior = level(lambda x: of(x)[0] == suffix, share)  # noqa: B023
+        prior = level(lambda x: of(x) == (suffix, domain), prior)  # noqa: B023
+        prior = level(lambda x: x == h, prior)  # noqa: B023
+        g = grams(t)
+        declared = {n: 0.0 if not lang else math.log(language_id.DECLARED if n == lang else (1 - language_id.DECLARED) / max(len(names) - 1, 1)) for n in names}
+        fused = {n: (sum(math.log((counts[n][b] + 1) / total[n]) for b in g) / max(len(g), 1)) * min(len(g), language_id.TEXT_WEIGHT) + math.log(prior[n]) + declared[n] for n in names}
+        best = max(names, key=lambda n: (fused[n], [-ord(c) for c in n]))  # noqa: B023
+        letters = any(c.isalpha() for c in t or "")
+        confidence = 1 / sum(math.exp(fused[n] - fused[best]) for n in names) if letters else 0.0
+        out.append((i, best if letters else "und", round(confidence, 4), len(g), letters and confidence >= accept))
+    return sorted(out, key=str)
+
+
+def test_language_id_equals_plain_fusion(spark):
+    """Hosts of three levels, null and repeated ids, texts without letters, a very long text."""
+    rng = random.Random(8)
+    say = {"en": "the and that with this house tree have".split(), "de": "der und das mit dem Haus Baum haben".split(), "fr": "le et que avec cette maison arbre été".split()}
+    table = []
+    for i in range(60):
+        lang = rng.choice(list(say))
+        table.append((rng.choice([i, None, 5]), " ".join(rng.choices(say[lang], k=rng.randint(0, 6))), rng.choice([lang, lang, None]), rng.choice(["a.x.org", "b.x.org", "y.de", "Y.DE", "bare", None, ""])))
+    table += [(70, None, "en", "y.de"), (71, "12 !", None, "a.x.org"), (72, "the house " * 30_000, None, "y.de"), (73, "x", None, "y.de")] + [table[0]] * 3
+    rows_ = spark.createDataFrame([(*r, "k") for r in table], "doc_id long, text string, lang string, source string, kept string").repartition(3)
+    got = sorted(((r["doc_id"], r["language"], round(r["confidence"], 4), r["grams"], r["kept"]) for r in language_id.identify(rows_).collect()), key=str)
+    want = plain_languages(table)
+    assert [(g[0], g[1], g[3], g[4]) for g in got] == [(w[0], w[1], w[3], w[4]) for w in want]
+    assert np.allclose([g[2] for g in got], [w[2] for w in want], atol=2e-3)
+
+
+def test_language_of_held_out_texts(spark, sf):
+    """Labels of a third are withheld from text model, prior and evidence: by text alone, by host alone, and by both."""
+    table = spark.read.parquet(f"{sf}/documents.parquet").filter("text rlike '[a-z]'")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    seen = table.withColumn("lang", F.when(~held, F.col("lang")))
+    truth = {r["doc_id"]: r["lang"] for r in table.filter(held).collect()}
+
+    def right(rows_, **evidence):
+        return sum(truth.get(r["doc_id"]) == r["language"] for r in language_id.identify(rows_, declared=None, **evidence).collect()) / len(truth)
+
+    text, host, both = right(seen, host=None), right(seen.withColumn("text", F.lit("x"))), right(seen)
+    assert text >= 0.9 and both >= text - 0.02 and host < both
+
+
+def test_too_many_languages_raise(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "LANGUAGES", 2)
+    rows_ = spark.createDataFrame([(i, "text", f"l{i}", "s") for i in range(3)], "doc_id long, text string, lang string, source string")
+    with pytest.raises(ValueError, match="3 languages"):
+        language_id.identify(rows_)
+
+
 # toxicity
 
 
@@ -413,6 +489,43 @@ def test_trees_learn_and_walk():
     assert 0 < quality.fit(x[:10], np.ones(10)).probability(x[:1])[0] < 1
 
 
+def plain_statistics(text):
+    """FEATURES of a text in plain Python."""
+    t = (text or "").encode()
+    out = dict.fromkeys(quality.FEATURES, 0.0)
+    for name, members in quality._CLASSES.items():
+        out[name] = sum(bool(members[b]) for b in t) / max(len(t), 1)
+    own = [bytes(w) for w in re.split(rb"[ \t-\r]+", t) if w]
+    if own:
+        low = [w.lower() for w in own]
+        times, lines = Counter(low), [x for x in t.split(b"\n") if x]
+        out |= {"log_words": math.log1p(len(own)), "mean_word": sum(map(len, own)) / len(own), "longest_word": min(max(map(len, own)), 200), "distinct_words": len(times) / len(own)}
+        out |= {"top_word": max(times.values()) / len(own), "top_run": sum(a == b for a, b in itertools.pairwise(low)) / max(len(own) - 1, 1)}
+        out |= {"lines": math.log1p(len(lines)), "distinct_lines": len({x.lower() for x in lines}) / len(lines)}
+    return [out[f] for f in quality.FEATURES]
+
+
+def test_statistics_equal_plain_ones():
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("aB9é .\n|!", k=rng.randint(0, 60))) for _ in range(200)] + [None, "", "   ", "x" * 3_000_000, "one two\n" * 50_000]
+    assert np.allclose(quality.statistics(pa.array(texts)), [plain_statistics(t) for t in texts], rtol=1e-4, atol=1e-5)
+
+
+def test_quality_of_held_out_texts(spark, sf):
+    """Labels of a fifth are never learned; the query's scores are those of the trees walked on plain statistics."""
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    docs_, labels = (spark.read.parquet(f"{sf.replace('0.001', '0.01')}/{n}.parquet") for n in ("documents", "labels"))
+    trees = quality.fit_quality(docs_, labels.filter(~held))
+    texts = {r["doc_id"]: r["text"] for r in docs_.collect()}
+    got = quality.score_quality(docs_.withColumn("score", F.lit("clash")), trees, 0.3).collect()
+    assert len(got) == len(texts)
+    some = got[:60]
+    assert np.allclose([r["score"] for r in some], trees.probability(np.array([plain_statistics(texts[r["doc_id"]]) for r in some], np.float32)), atol=1e-3)
+    marks = {r["doc_id"]: r["quality"] for r in labels.filter(held & F.col("quality").isNotNull()).collect()}
+    right = [int(r["score"] >= 0.5) == marks[r["doc_id"]] for r in got if r["doc_id"] in marks]
+    assert len(right) > 20 and sum(right) >= 0.95 * len(right)
+
+
 def test_quality_defined_for_all_rows(spark):
     rows = [(i, "plain words of a calm text here. " * (i % 7 + 1)) for i in range(60)] + [(100 + i, "SPAM!! SPAM!! " * (i % 7 + 2)) for i in range(60)] + [(300, None), (301, ""), (301, "")]
     labels = spark.createDataFrame([(i, int(i < 100)) for i, _ in rows[:120]] + [(999, 1), (None, 1), (5, None)], "doc_id long, quality int")
