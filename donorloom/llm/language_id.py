@@ -64,10 +64,10 @@ def fit_text_model(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages, and log-probabilities (bins x languages) with one count added to each bin. Rows without a language
     teach nothing. Raises beyond LANGUAGES languages, before anything is collected, as the model is sent to every executor."""
     labelled = docs.filter(F.col("lang").isNotNull())
-    if (found := labelled.select("lang").distinct().count()) > LANGUAGES:
-        raise ValueError(f"{found} languages; at most {LANGUAGES} are meant")
+    names = sorted(r["lang"] for r in labelled.select("lang").distinct().limit(LANGUAGES + 1).collect())
+    if len(names) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
     counts = count_grams(labelled).toPandas()
-    names = sorted(counts["lang"].unique())
     table = np.ones((BINS, max(len(names), 1)))
     for i, name in enumerate(names):
         own = counts[counts["lang"] == name]
