@@ -1,8 +1,9 @@
 """Token counts under a unigram vocabulary, by dynamic programming over a trie of distinct pre-tokens.
 
 The distinct pre-tokens of a batch are put in a trie. The best score of a prefix depends on the prefix alone, so one
-walk of the trie finds it once for all words that begin so, and each word's count is stored where it ends.
-The vocabulary is a public one, given by path; nothing is trained.
+walk of the trie finds it once for all words that begin so, and each word's count is stored where it ends. Which pieces end
+at a character is told by an automaton over the trie of the vocabulary (Aho and Corasick, 1975), whose state depends on the
+prefix alone as well. The vocabulary is a public one, given by path; nothing is trained.
 """
 
 from __future__ import annotations
@@ -33,17 +34,54 @@ def read_vocabulary(path: str = VOCABULARY) -> dict[str, float]:
     return {model.id_to_piece(i): -math.log(r + 1) - total for r, i in enumerate(ranks)}
 
 
-def count_tokens(words: list[str], pieces: dict[str, float], longest: int) -> dict[str, int]:
+class Pieces:
+    """The vocabulary as an automaton: ``ends[state]`` has (length, score) of every piece that ends there."""
+
+    def __init__(self, pieces: dict[str, float]):
+        self.steps: list[dict[str, int]] = [{}]
+        self.ends: list[tuple] = [()]
+        for piece, score in pieces.items():
+            at = 0
+            for c in piece:
+                to = self.steps[at].get(c)
+                if to is None:
+                    to = self.steps[at][c] = len(self.steps)
+                    self.steps.append({})
+                    self.ends.append(())
+                at = to
+            if at:
+                self.ends[at] = ((len(piece), score),)
+        self.back = [0] * len(self.steps)
+        level = list(self.steps[0].values())
+        while level:
+            below = []
+            for at in level:
+                for c, to in self.steps[at].items():
+                    self.back[to] = self.after(self.back[at], c)
+                    self.ends[to] += self.ends[self.back[to]]
+                    below.append(to)
+            level = below
+
+    def after(self, state: int, c: str) -> int:
+        """The state after one more character: the longest end of the text that begins a piece."""
+        while c not in self.steps[state]:
+            if not state:
+                return 0
+            state = self.back[state]
+        return self.steps[state][c]
+
+
+def count_tokens(words: list[str], pieces: Pieces) -> dict[str, int]:
     """Number of tokens in the best segmentation of each word (with the space before it).
 
-    Words go in sorted order, which is a walk of their trie: the stack holds (best score, tokens) of each prefix of
+    Words go in sorted order, which is a walk of their trie: the stack holds (best score, tokens, state) of each prefix of
     the word before, and what the two words share is not computed again. A character that no piece covers costs
     its UTF-8 bytes, a token each. Equal scores take fewer tokens.
     """
     out: dict[str, int] = {}
-    stack: list[tuple[float, int]] = [(0.0, 0)]
+    stack: list[tuple[float, int, int]] = [(0.0, 0, 0)]
     before = ""
-    get = pieces.get
+    after, ends = pieces.after, pieces.ends
     for word in sorted(words):
         text = SPACE + word
         shared, most = 0, min(len(text), len(before))
@@ -51,26 +89,37 @@ def count_tokens(words: list[str], pieces: dict[str, float], longest: int) -> di
             shared += 1
         del stack[shared + 1 :]
         for end in range(shared + 1, len(text) + 1):
-            n = len(text[end - 1].encode("utf-8", "replace"))
-            score, tokens = stack[end - 1]
+            c = text[end - 1]
+            n = 1 if c < "\x80" else len(c.encode("utf-8", "replace"))
+            score, tokens, state = stack[-1]
             best, best_tokens = score + BYTE_SCORE * n, tokens + n
-            for start in range(max(0, end - longest), end):
-                own = get(text[start:end])
-                if own is not None:
-                    score, tokens = stack[start]
-                    score += own
-                    if score > best or (score == best and tokens < best_tokens):
-                        best, best_tokens = score, tokens + 1
-            stack.append((best, best_tokens))
+            state = after(state, c)
+            for length, own in ends[state]:
+                score, tokens, _ = stack[end - length]
+                score += own
+                if score > best or (score == best and tokens < best_tokens):
+                    best, best_tokens = score, tokens + 1
+            stack.append((best, best_tokens, state))
         out[word] = stack[-1][1]
         before = text
     return out
 
 
+_made: dict[int, Pieces] = {}
+
+
+def _pieces(sent) -> Pieces:
+    """The automaton of a broadcast vocabulary, once a worker."""
+    key = id(sent.value)
+    if key not in _made:
+        _made.clear()
+        _made[key] = Pieces(sent.value)
+    return _made[key]
+
+
 def _counted(sent):
     def run(batches):
-        pieces = sent.value
-        longest = max(map(len, pieces), default=1)
+        pieces = _pieces(sent)
         known: dict[str, int] = {}
         for b in batches:
             n, tokens = [], []
@@ -80,7 +129,7 @@ def _counted(sent):
                 if len(known) + len(fresh) > KEPT:
                     known = {}
                     fresh = {w for own in words for w in own}
-                known.update(count_tokens(list(fresh), pieces, longest))
+                known.update(count_tokens(list(fresh), pieces))
                 n += [len(own) for own in words]
                 tokens += [sum(map(known.__getitem__, own)) for own in words]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(tokens, pa.int64())], schema=_COUNTS)

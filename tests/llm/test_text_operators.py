@@ -269,12 +269,33 @@ def test_token_counts_equal_plain_search(spark):
 
     rng = random.Random(3)
     words = ["".join(rng.choices("abcé", k=rng.randint(1, 7))) for _ in range(300)]
-    assert token_counts.count_tokens(words, pieces, 3) == {w: plain(w) for w in words}
+    assert token_counts.count_tokens(words, token_counts.Pieces(pieces)) == {w: plain(w) for w in words}
     got = token_counts.token_counts(docs(spark, [(1, " ".join(words)), (2, None), (3, " "), (3, " ")]), pieces).collect()
     assert sorted((r["doc_id"], r["n_pretokens"], r["n_tokens"]) for r in got) == [(1, 300, sum(map(plain, words))), (2, 0, 0), (3, 0, 0), (3, 0, 0)]
     assert token_counts.token_counts(docs(spark, []), pieces).count() == 0
 
 
+def test_token_counts_of_the_public_vocabulary(spark):
+    """Whole rows against the plain search over the vocabulary itself; null ids, a very long text and a very long word."""
+    pieces = token_counts.read_vocabulary()
+    longest = max(map(len, pieces))
+
+    def plain(word):
+        text = token_counts.SPACE + word
+        best = [(0.0, 0)]
+        for e in range(1, len(text) + 1):
+            n = len(text[e - 1].encode())
+            options = [(best[e - 1][0] + token_counts.BYTE_SCORE * n, -(best[e - 1][1] + n))]
+            options += [(best[s][0] + pieces[text[s:e]], -(best[s][1] + 1)) for s in range(max(0, e - longest), e) if text[s:e] in pieces]
+            score, tokens = max(options)
+            best.append((score, -tokens))
+        return best[-1][1]
+
+    table = [(1, "The quick brown fox, über 3.14 naïve 漢字 don't"), (None, "hello hello"), (2, "word " * 100_000), (3, "ab" * 20_000), (4, "\t\n "), (5, None)]
+    got = {r["doc_id"]: (r["n_pretokens"], r["n_tokens"]) for r in token_counts.token_counts(docs(spark, table), pieces).collect()}
+    assert got == {i: (len((t or "").split()), sum(n * plain(w) for w, n in Counter((t or "").split()).items())) for i, t in table}
+
+
 # language
 
 
