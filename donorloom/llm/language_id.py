@@ -137,7 +137,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray] | None = None,
     address or source (null: one host of its own); the text model learns from ``lang``. ``kept`` tells whether the
     text has a letter and the best language's posterior reaches ``accept``; ``language`` is REJECT for texts without a
     letter (null and empty ones too). Texts too short for a trigram go by the other evidence. Ties go to the first language by name. A table without
-    labelled rows has every row rejected; an empty table gives an empty table. Repeated rows are judged each.
+    labelled rows has every row rejected; an empty table gives an empty table. Repeated rows, and those of null or equal ids, are judged each.
     """
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"),

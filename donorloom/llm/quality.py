@@ -163,7 +163,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_
 
 def score_quality(docs: DataFrame, trees: Trees, threshold: float = 0.3) -> DataFrame:
     """``(doc_id, score, predicted)`` for every row of ``docs``, by its whole text; empty and null texts are scored
-    from zeros. Repeated rows are scored each; an empty table gives an empty table."""
+    from zeros. Repeated rows, and those of null or equal ids, are scored each; an empty table gives an empty table."""
     sent = docs.sparkSession.sparkContext.broadcast(trees)
 
     def run(batches):

@@ -140,7 +140,7 @@ def _counted(sent):
 def token_counts(docs: DataFrame, vocabulary: dict[str, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_pretokens, n_tokens)`` for every row of ``docs``, by its whole text.
 
-    Pre-tokens are runs without white space. Null and empty texts have none; repeated rows are counted each; an
+    Pre-tokens are runs without white space. Null and empty texts have none; repeated rows, and those of null or equal ids, are counted each; an
     empty table gives an empty table. The vocabulary (some MB) is one of a fixed size, sent to each executor.
     """
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)

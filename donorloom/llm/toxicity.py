@@ -332,7 +332,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_r
 
 def score_toxicity(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     """``(doc_id, score, predicted)`` for every row of ``docs``, by its whole text; null and empty texts are scored as texts
-    without a hit. Repeated rows are scored each; an empty table gives an empty table."""
+    without a hit. Repeated rows, and those of null or equal ids, are scored each; an empty table gives an empty table."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
