@@ -41,20 +41,29 @@ def _plain(c: Column) -> Column:
     return strip(F.upper(F.coalesce(c, F.lit(""))))
 
 
-def addresses_compatible(a: Column, b: Column) -> Column:
-    """Whether two structs (street, city, state) can be one place; null where a street is missing."""
-    na, nb = normalize_street(a["street"]), normalize_street(b["street"])
-    ca, cb = (F.replace(_plain(x["city"]), F.lit("-"), F.lit(" ")) for x in (a, b))
-    sa, sb = extract_secondary(a["street"]), extract_secondary(b["street"])
+def address_form(a: Column) -> Column:
+    """What a struct (street, city, state) is compared by: its street spelled out, part of a building, city and state."""
+    city = F.replace(_plain(a["city"]), F.lit("-"), F.lit(" "))
+    return F.struct(normalize_street(a["street"]).alias("street"), extract_secondary(a["street"]).alias("part"), city.alias("city"), _plain(a["state"]).alias("state"))
+
+
+def forms_compatible(x: Column, y: Column) -> Column:
+    """Whether two address forms can be one place; null where a street is missing."""
     return (
-        F.when((na == "") | (nb == ""), F.lit(None).cast("boolean")).when(_plain(a["state"]) != _plain(b["state"]), False)
-        .when((ca != "") & (cb != "") & (indel_ratio(ca, cb) < 80), False).when(indel_ratio(na, nb) < 75, False)
-        .when(sa.isNotNull() & sb.isNotNull() & (sa != sb), False).otherwise(True)
+        F.when((x["street"] == "") | (y["street"] == ""), F.lit(None).cast("boolean")).when(x["state"] != y["state"], False)
+        .when((x["city"] != "") & (y["city"] != "") & (indel_ratio(x["city"], y["city"]) < 80), False).when(indel_ratio(x["street"], y["street"]) < 75, False)
+        .when(x["part"].isNotNull() & y["part"].isNotNull() & (x["part"] != y["part"]), False).otherwise(True)
     )
 
 
+def addresses_compatible(a: Column, b: Column) -> Column:
+    """Whether two structs (street, city, state) can be one place; null where a street is missing."""
+    return forms_compatible(address_form(a), address_form(b))
+
+
 def key_street(street: Column) -> Column:
     """Street as the address key has it: punctuation as spaces, long words cut short."""
+    # fixed values: the punctuation that the key leaves out
     s = F.regexp_replace(strip(F.upper(F.coalesce(street, F.lit("")))), r"[.\-,;:#'\"]", " ")
     for long, short in KEY_WORDS.items():
         s = F.regexp_replace(s, rf"(?U)\b{long}\b", short)

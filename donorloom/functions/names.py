@@ -34,6 +34,7 @@ def _mapped(name: Column, table: dict[str, str]) -> Column:
 
 
 def _normalized(name: Column, ampersand: str, initials: bool) -> Column:
+    # fixed values: what is taken off a name, in this order
     s = strip(F.upper(name))
     s = F.regexp_replace(s, r"(?U)\s*\([^)]*\)", "")
     s = F.regexp_replace(s, r"(?U)\s*[-–]?\s*IN[\s-]*KIND\b", "")
@@ -112,6 +113,7 @@ def alias_candidates(name: Column) -> Column:
 
 def search_names(term: Column) -> Column:
     """A search term, its parts in parentheses, itself without them, and its parts around " / ", in that order, each once."""
+    # fixed values: how the parts of a term are told, and their least length
     whole = strip(term)
     inner = F.transform(F.regexp_extract_all(term, F.lit(r"\(([^)]+)\)"), F.lit(1)), lambda p: strip(p))
 

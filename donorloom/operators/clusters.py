@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from donorloom.functions.address import addresses_compatible
+from donorloom.functions.address import address_form, forms_compatible
 from donorloom.functions.names import alias_candidates, canonical_name
 from donorloom.functions.similarity import indel_ratio
 from donorloom.operators.aliases import alias_forms
@@ -88,14 +88,19 @@ def raw_addresses(df: DataFrame) -> DataFrame:
 
 
 def address_edges(pairs: DataFrame, named: DataFrame, addresses: DataFrame) -> DataFrame:
-    """Borderline pairs of which any two addresses agree. Addresses meet by state, before any ratio."""
+    """Borderline pairs of which any two addresses agree. Distinct address forms meet by state; those that are equal decide
+    first, so only the pairs that are left go through ratios."""
     close = pairs.filter(F.col("ratio") < F.col("threshold")).select("a", "b").distinct()
-    state = F.upper(F.trim("state"))
     at = named.withColumn("donor_upper", F.upper("donor")).join(addresses, "donor_upper").filter("trim(street) != ''")
-    at = at.select("canonical", state.alias("state_key"), F.struct("street", "city", "state").alias("address")).distinct()
-    left = close.join(at.select(F.col("canonical").alias("a"), "state_key", F.col("address").alias("x")), "a")
-    right = at.select(F.col("canonical").alias("b"), "state_key", F.col("address").alias("y"))
-    return left.join(right, ["b", "state_key"]).filter(addresses_compatible(F.col("x"), F.col("y"))).select("a", "b").distinct()
+    at = at.select("canonical", address_form(F.struct("street", "city", "state")).alias("form")).filter("form.street != ''").distinct()
+    left = close.join(at.select(F.col("canonical").alias("a"), F.col("form.state").alias("state"), F.col("form").alias("x")), "a")
+    right = at.select(F.col("canonical").alias("b"), F.col("form.state").alias("state"), F.col("form").alias("y"))
+    met = left.join(right, ["b", "state"])
+    x, y = F.col("x"), F.col("y")
+    equal = met.filter((x["street"] == y["street"]) & (x["city"] == y["city"]) & F.coalesce(x["part"] == y["part"], F.lit(True))).select("a", "b").distinct()
+    equal = materialize(equal, "equal-addresses")
+    rest = met.join(equal, ["a", "b"], "left_anti").filter(forms_compatible(x, y)).select("a", "b").distinct()
+    return equal.union(rest)
 
 
 def cluster_donors(donors: DataFrame, addresses: DataFrame | None = None, donor_groups: DataFrame | None = None, groups: DataFrame | None = None, fuzzy: bool = True) -> DataFrame:
