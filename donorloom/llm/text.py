@@ -1,6 +1,6 @@
 """Numpy kernels over Arrow string columns: words and word shingles of whole batches as 64-bit hashes.
 
-A batch is cut into pieces of about a megabyte, so that the working arrays stay small whatever the batch
+A batch is cut into pieces of about a quarter of a megabyte, so that the working arrays stay small whatever the batch
 size; one very long text is a piece of its own.
 """
 
@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
 _ODD = 0x9E3779B97F4A7C15
 _BASE = 0xD1342543DE82EF95
 
