@@ -13,6 +13,7 @@ from donorloom.llm.language_id import identify
 from donorloom.llm.mixing import mix
 from donorloom.llm.ngram_join import ngram_jaccard_join
 from donorloom.llm.quality import fit_quality, score_quality
+from donorloom.llm.ranked_search import search_documents
 from donorloom.llm.sharding import shard_by_bytes
 from donorloom.llm.token_counts import read_vocabulary, token_counts
 from donorloom.llm.toxicity import fit_toxicity, score_toxicity
@@ -95,10 +96,16 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), coverage=0.5, seed=5)
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 documents of highest score for every test item."""
+    return search_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=50)
+
+
 def queries() -> dict:
     own = (
         op1_toxicity, op2_chat_format, op3_ngram_jaccard, op4_sharding, op5_language_id,
         op6_token_counts, op7_mixing, op8_quality, op9_fingerprints, op10_decontamination,
+        op11_ranked_search,
     )
     return {f.__name__: f for f in own}
 
@@ -170,5 +177,23 @@ FROM edits e JOIN prints p ON p.doc_id = e.doc_id AND p.side = 0 JOIN prints q O
 """
 
 
+#: Scores of all documents that share a term with an item.
+_OP11 = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), sums AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(len(w)) AS BIGINT) AS total FROM d WHERE len(w) > 0),
+items AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), t AS (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM d),
+tf AS (SELECT doc_id, n, term, count(*) AS tf FROM t SEMI JOIN items USING (term) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w FROM df, sums),
+p AS (SELECT doc_id, term, tf, 100 - 50 + (50 * n * docs) // total AS m FROM tf, sums),
+s AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score FROM items JOIN p USING (term) JOIN w USING (term) GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 50
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": _OP2, "op3_ngram_jaccard": _OP3, "op9_fingerprints": _op9()}
+    return {"op2_chat_format": _OP2, "op3_ngram_jaccard": _OP3, "op9_fingerprints": _op9(), "op11_ranked_search": _OP11}
