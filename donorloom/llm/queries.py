@@ -12,6 +12,7 @@ from donorloom.llm.fingerprint import edited_fingerprints
 from donorloom.llm.language_id import identify
 from donorloom.llm.mixing import mix
 from donorloom.llm.ngram_join import ngram_jaccard_join
+from donorloom.llm.prefix_trie import prefix_trie, turn_lists, with_shared_heads
 from donorloom.llm.quality import fit_quality, score_quality
 from donorloom.llm.ranked_search import search_documents
 from donorloom.llm.sharding import shard_by_bytes
@@ -101,11 +102,16 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=50)
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of all conversations, rebuilt with the first turns that a hundred of them share."""
+    return prefix_trie(with_shared_heads(turn_lists(_table(spark, sf_dir, "conversations")), every=100, most=5))
+
+
 def queries() -> dict:
     own = (
         op1_toxicity, op2_chat_format, op3_ngram_jaccard, op4_sharding, op5_language_id,
         op6_token_counts, op7_mixing, op8_quality, op9_fingerprints, op10_decontamination,
-        op11_ranked_search,
+        op11_ranked_search, op13_prefix_trie,
     )
     return {f.__name__: f for f in own}
 
@@ -195,5 +201,38 @@ FROM s WHERE score > 0 QUALIFY rank <= 50
 """
 
 
+#: CRC32 bit by bit, conversations rebuilt, all prefixes of all of them, and sums over those that go on from each.
+_OP13 = r"""
+WITH RECURSIVE bits(b, k, v) AS (
+  SELECT b, 0, b FROM range(256) r(b) UNION ALL SELECT b, k + 1, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END FROM bits WHERE k < 8
+), steps AS (SELECT b, v FROM bits WHERE k = 8),
+t AS (
+  SELECT conv_id AS c, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS x, length(coalesce(text, '')) AS chars,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), x, chars) AS p
+  FROM conversations WHERE conv_id IS NOT NULL
+), crc(c, s, i, v) AS (
+  SELECT c, CAST(c AS VARCHAR), 1, 4294967295 FROM (SELECT DISTINCT c FROM t)
+  UNION ALL SELECT c, s, i + 1, xor(crc.v // 256, steps.v) FROM crc JOIN steps ON steps.b = xor(crc.v, ascii(s[i])) % 256 WHERE i <= length(s)
+), h AS (SELECT c, c - c % 100 AS base, xor(v, 4294967295) % 6 AS h FROM crc WHERE i = length(s) + 1),
+parts AS (
+  SELECT h.c, p, x, chars FROM h JOIN t ON t.c = h.base WHERE p <= h
+  UNION ALL SELECT h.c, p, x, chars FROM h JOIN t ON t.c = h.c WHERE p > h
+), pre AS (
+  SELECT c, row_number() OVER w AS d, chars, md5(string_agg(x, '') OVER w) AS own FROM parts WINDOW w AS (PARTITION BY c ORDER BY p)
+  UNION ALL SELECT c, 0, 0, '' FROM h
+), paths AS (SELECT *, lag(own) OVER w AS above, lead(own) OVER w IS NULL AS last FROM pre WINDOW w AS (PARTITION BY c ORDER BY d)),
+nodes AS (SELECT own, d, any_value(above) AS above, any_value(chars) AS chars, min(c) AS least, count(*) AS n,
+                 sha256(coalesce(string_agg(c, ',' ORDER BY c) FILTER (WHERE last), '')) AS ends FROM paths GROUP BY own, d),
+kids AS (SELECT above AS own, count(*) AS children FROM nodes WHERE d > 0 GROUP BY above),
+sums AS (  -- a node counts at its least member, and at all prefixes of that
+  SELECT p.c, p.own, sum(CASE WHEN k.own IS NULL AND n.least = p.c THEN 1 ELSE 0 END) OVER w AS leaves, sum(CASE WHEN n.least = p.c THEN (n.n - 1) * n.chars ELSE 0 END) OVER w AS saved
+  FROM paths p JOIN nodes n ON n.own = p.own LEFT JOIN kids k ON k.own = p.own WINDOW w AS (PARTITION BY p.c ORDER BY p.d DESC)
+), below AS (SELECT own, sum(leaves) AS leaves, sum(saved) AS saved FROM sums GROUP BY own)
+SELECT n.least AS conv_id, CAST(n.d AS BIGINT) AS depth, u.least AS parent_conv_id, CAST(n.n AS BIGINT) AS n_convs, CAST(coalesce(children, 0) AS BIGINT) AS n_children,
+       CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, n.ends AS ends_sha256
+FROM nodes n JOIN below USING (own) LEFT JOIN kids USING (own) LEFT JOIN nodes u ON u.own = n.above
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": _OP2, "op3_ngram_jaccard": _OP3, "op9_fingerprints": _op9(), "op11_ranked_search": _OP11}
+    return {"op2_chat_format": _OP2, "op3_ngram_jaccard": _OP3, "op9_fingerprints": _op9(), "op11_ranked_search": _OP11, "op13_prefix_trie": _OP13}
