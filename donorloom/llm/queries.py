@@ -16,10 +16,11 @@ from donorloom.llm.prefix_trie import prefix_trie, turn_lists, with_shared_heads
 from donorloom.llm.quality import fit_quality, score_quality
 from donorloom.llm.ranked_search import search_documents
 from donorloom.llm.sharding import shard_by_bytes
+from donorloom.llm.suffix_tree import count_words, fit_suffix_tree, score_texts
 from donorloom.llm.token_counts import read_vocabulary, token_counts
 from donorloom.llm.toxicity import fit_toxicity, score_toxicity
 
-from donorloom.operators.shared import ship_package
+from donorloom.operators.shared import materialize, ship_package
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -102,6 +103,16 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=50)
 
 
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's probability by its words' counts, and by a suffix tree; the held-out fold (remainder 1 of 5) is never learned
+    from. Documents without an id are not held out."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    train = docs.filter(~F.coalesce(_fold(5) == 1, F.lit(False)))
+    words = materialize(count_words(train), "words")
+    scored = score_texts(docs, fit_suffix_tree(train, words), words)
+    return scored.withColumn("held_out", F.coalesce(_fold(5) == 1, F.lit(False)))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every node of the trie of all conversations, rebuilt with the first turns that a hundred of them share."""
     return prefix_trie(with_shared_heads(turn_lists(_table(spark, sf_dir, "conversations")), every=100, most=5))
@@ -111,7 +122,7 @@ def queries() -> dict:
     own = (
         op1_toxicity, op2_chat_format, op3_ngram_jaccard, op4_sharding, op5_language_id,
         op6_token_counts, op7_mixing, op8_quality, op9_fingerprints, op10_decontamination,
-        op11_ranked_search, op13_prefix_trie,
+        op11_ranked_search, op12_lm_scoring, op13_prefix_trie,
     )
     return {f.__name__: f for f in own}
 
