@@ -21,6 +21,9 @@ KEY_WORDS = {
 # What stands before the number of a part of a building.
 SECONDARY = r"(?iU)\b(SUITE|STE|OFFICE|OFC|APT|APARTMENT|FLOOR|FL|BLDG|BUILDING|UNIT|RM|ROOM|#)\s*\.?\s*(\w+)"
 
+# Ratios that cities and streets of one place reach.
+CITY_RATIO, STREET_RATIO = 80, 75
+
 
 def normalize_street(street: Column) -> Column:
     """Street without parts of buildings, its words spelled out; '' for null, blank, nan and None."""
@@ -51,7 +54,7 @@ def forms_compatible(x: Column, y: Column) -> Column:
     """Whether two address forms can be one place; null where a street is missing."""
     return (
         F.when((x["street"] == "") | (y["street"] == ""), F.lit(None).cast("boolean")).when(x["state"] != y["state"], False)
-        .when((x["city"] != "") & (y["city"] != "") & (indel_ratio(x["city"], y["city"]) < 80), False).when(indel_ratio(x["street"], y["street"]) < 75, False)
+        .when((x["city"] != "") & (y["city"] != "") & (indel_ratio(x["city"], y["city"]) < CITY_RATIO), False).when(indel_ratio(x["street"], y["street"]) < STREET_RATIO, False)
         .when(x["part"].isNotNull() & y["part"].isNotNull() & (x["part"] != y["part"]), False).otherwise(True)
     )
 

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from donorloom.functions.address import address_form, forms_compatible
+from donorloom.functions.address import CITY_RATIO, STREET_RATIO, address_form, forms_compatible
 from donorloom.functions.names import alias_candidates, canonical_name
 from donorloom.functions.similarity import indel_ratio
+from donorloom.operators import similar
 from donorloom.operators.aliases import alias_forms
 from donorloom.operators.components import connected_components
 from donorloom.operators.shared import materialize
 
-#: Names of one block beyond which it is dealt out over several tasks, by salting one side.
+#: Names of one block up to which all are compared with all.
 BLOCK_NAMES = 2000
 
 
@@ -63,18 +64,12 @@ def prefix_edges(names: DataFrame) -> DataFrame:
 
 def fuzzy_pairs(names: DataFrame, block_names: int = BLOCK_NAMES) -> DataFrame:
     """``(a, b, ratio, threshold)``: pairs of names of 15 or more characters and two words or more that share their first
-    five characters and are similar to within 5 of their threshold. Large blocks are salted; pairs whose lengths
-    rule the threshold out are never compared."""
-    own = names.select("canonical").distinct().filter((F.length("canonical") >= 15) & (n_words(F.col("canonical")) >= 2)).withColumn("block", F.substr("canonical", F.lit(1), F.lit(5)))
-    salts = own.groupBy("block").agg(F.ceil(F.count("*") / block_names).cast("int").alias("salts"))
-    own = own.join(salts, "block")
-    left = own.select("block", F.col("canonical").alias("a"), F.pmod(F.xxhash64("canonical"), "salts").cast("int").alias("salt"))
-    right = own.select("block", F.col("canonical").alias("b"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    la, lb = F.length("a"), F.length("b")
-    threshold = F.when(F.least(la, lb) < 20, 92.0).otherwise(90.0)
-    pairs = left.join(right, ["block", "salt"]).filter(F.col("a") < F.col("b")).withColumn("threshold", threshold)
-    pairs = pairs.filter(200 * F.least(la, lb) / (la + lb) >= F.col("threshold") - 5)
-    return pairs.select("a", "b", "threshold", indel_ratio(F.col("a"), F.col("b")).alias("ratio")).filter(F.col("ratio") >= F.col("threshold") - 5)
+    five characters and are similar to within 5 of their threshold. Names of large blocks meet by an index of segments; pairs
+    whose lengths or characters rule the threshold out are never compared."""
+    enough = (F.length("canonical") >= similar.LEAST) & (n_words(F.col("canonical")) >= 2)
+    own = names.select("canonical").distinct().filter(enough).withColumn("block", F.substr("canonical", F.lit(1), F.lit(similar.BLOCK)))
+    pairs = similar.similar_candidates(own, block_names)
+    return pairs.select("a", "b", "threshold", indel_ratio(F.col("a"), F.col("b")).alias("ratio")).filter(F.col("ratio") >= F.col("threshold") - similar.BELOW)
 
 
 def fuzzy_edges(pairs: DataFrame) -> DataFrame:
@@ -89,20 +84,28 @@ def raw_addresses(df: DataFrame) -> DataFrame:
 
 def address_edges(pairs: DataFrame, named: DataFrame, addresses: DataFrame) -> DataFrame:
     """Borderline pairs of which any two addresses agree. Distinct address forms meet by state; those that are equal decide
-    first, so only the pairs that are left go through ratios."""
+    first, and only pairs that their characters do not rule out go through ratios."""
     close = pairs.filter(F.col("ratio") < F.col("threshold")).select("a", "b").distinct()
     at = named.withColumn("donor_upper", F.upper("donor")).join(addresses, "donor_upper").filter("trim(street) != ''")
     at = at.select("canonical", address_form(F.struct("street", "city", "state")).alias("form")).filter("form.street != ''").distinct()
-    left = close.join(at.select(F.col("canonical").alias("a"), F.col("form.state").alias("state"), F.col("form").alias("x")), "a")
-    right = at.select(F.col("canonical").alias("b"), F.col("form.state").alias("state"), F.col("form").alias("y"))
-    met = left.join(right, ["b", "state"])
+    counted = at.withColumns({c: similar.letter_counts(F.col(f"form.{c}")) for c in ("street", "city")})
+    side = lambda name, form: counted.select(F.col("canonical").alias(name), F.col("form.state").alias("state"), F.col("form").alias(form), *(F.col(c).alias(f"{form}_{c}") for c in ("street", "city")))
+    met = close.join(side("a", "x"), "a").join(side("b", "y"), ["b", "state"])
     x, y = F.col("x"), F.col("y")
     equal = met.filter((x["street"] == y["street"]) & (x["city"] == y["city"]) & F.coalesce(x["part"] == y["part"], F.lit(True))).select("a", "b").distinct()
     equal = materialize(equal, "equal-addresses")
-    rest = met.join(equal, ["a", "b"], "left_anti").filter(forms_compatible(x, y)).select("a", "b").distinct()
+    rest = address_candidates(met).join(equal, ["a", "b"], "left_anti").filter(forms_compatible(x, y)).select("a", "b").distinct()
     return equal.union(rest)
 
 
+def address_candidates(met: DataFrame) -> DataFrame:
+    """Pairs of address forms that the counts of their characters do not rule out; only these are compared."""
+    street, city = (similar.ratio_bound(F.col(f"x_{c}"), F.col(f"y_{c}")) for c in ("street", "city"))
+    apart = (F.col("x.part") != F.col("y.part")) & F.col("x.part").isNotNull() & F.col("y.part").isNotNull()
+    no_city = (F.col("x.city") == "") | (F.col("y.city") == "")
+    return met.filter((street >= STREET_RATIO) & (no_city | (city >= CITY_RATIO)) & ~apart)
+
+
 def cluster_donors(donors: DataFrame, addresses: DataFrame | None = None, donor_groups: DataFrame | None = None, groups: DataFrame | None = None, fuzzy: bool = True) -> DataFrame:
     """``(donor, canonical_donor)`` for every distinct donor: components of the links by equal canonical name, alias and
     validated groups, prefixes, similarity and, for borderline pairs, addresses. A cluster is named by its shortest
