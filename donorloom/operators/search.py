@@ -15,6 +15,7 @@ from donorloom.operators.addresses import shared_keys
 from donorloom.operators.aliases import alias_forms, group_forms, with_aliases
 from donorloom.operators.clusters import n_words
 from donorloom.operators.shared import materialize
+from donorloom.operators.term_index import TermIndex
 
 KEEP, STRONG, BORDERLINE, SPARSE, COLOCATED = 72, 86, (72, 85), 5, 5
 #: Terms of a batch up to which they are sent to every executor for the tiers that compare all with all.
@@ -100,32 +101,21 @@ def search_donors(terms: DataFrame, donors: DataFrame, groups: DataFrame, fuzzy:
     return materialize(first.union(_without_place(names, first, donor_forms, groups)), "matches")
 
 
-def _letters(forms: list[str]) -> np.ndarray:
-    """How often each character is in a form, characters in 64 bins."""
-    out = np.zeros((len(forms), 64), np.uint8)
-    for row, form in zip(out, forms, strict=True):
-        for c in form[:255]:
-            row[ord(c) & 63] += 1
-    return out
-
-
 def _similar(dim: DataFrame, names: DataFrame, found: DataFrame) -> DataFrame:
     """``(query, pos, donor, score)`` of the terms that no earlier tier has found a donor for and that are similar to it: the
     best ratio of their forms.
 
-    The forms of all terms are at each task. A donor's form meets only those that share so many characters that the
-    ratio can reach KEEP: no window's subsequence is longer than the characters that two strings share, nor than the window.
-    Terms found already are an array at the donor.
+    An index of the forms of all terms is at each task; a donor's form is compared with those alone that the index finds for it
+    (an exact bound). Terms found already are an array at the donor.
     """
     rows = names.select("query", "pos", "forms").orderBy("query", "pos").collect()  # at most TERMS queries
     forms = sorted({(i, f) for i, r in enumerate(rows) for f in r["forms"] if len(f) >= 2})
-    owner, texts = np.array([i for i, _ in forms], np.int64), [f for _, f in forms]
-    sent = dim.sparkSession.sparkContext.broadcast((owner, texts, np.array([len(t) for t in texts], np.int64), _letters(texts)))
+    sent = dim.sparkSession.sparkContext.broadcast(([i for i, _ in forms], TermIndex([f for _, f in forms], KEEP)))
     places = names.sparkSession.createDataFrame([(i, r["query"], r["pos"]) for i, r in enumerate(rows)], "term int, query string, pos int")
     done = found.select("query", "pos", "donor").distinct().join(F.broadcast(places), ["query", "pos"]).groupBy("donor").agg(F.collect_set("term").alias("done"))
 
     def run(batches):
-        owner, texts, size, letters = sent.value
+        owner, index = sent.value
         for b in batches:
             out: dict[tuple[str, int], float] = {}
             left, right, where = [], [], []
@@ -139,15 +129,13 @@ def _similar(dim: DataFrame, names: DataFrame, found: DataFrame) -> DataFrame:
                     x.clear()
 
             for donor, own, seen in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                own = sorted({f for f in own if len(f) >= 2})
-                skip = np.isin(owner, seen or [])
-                for f, counts in zip(own, _letters(own), strict=True):
-                    shared = np.minimum(letters, counts).sum(axis=1, dtype=np.int64)
-                    bound = 200 * shared >= KEEP * (np.minimum(size, len(f)) + shared)
-                    for i in np.flatnonzero((bound | (max(len(f), int(size.max(initial=0))) > 255)) & ~skip).tolist():
-                        left.append(texts[i])
-                        right.append(f)
-                        where.append((donor, int(owner[i])))
+                skip = set(seen or ())
+                for f in sorted({f for f in own if len(f) >= 2}):
+                    for i in index.candidates(f).tolist():
+                        if owner[i] not in skip:
+                            left.append(index.terms[i])
+                            right.append(f)
+                            where.append((donor, owner[i]))
                 if len(left) > 20_000:
                     compare()
             compare()
