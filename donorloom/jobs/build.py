@@ -7,7 +7,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 
 from donorloom.operators.reports import build_report, recipient_summary
-from donorloom.operators.rollup import CONTRIBUTION_COLUMNS, matched_rows
+from donorloom.operators.rollup import CONTRIBUTION_COLUMNS, donor_dictionary, matched_rows
 from donorloom.operators.shared import materialize
 from donorloom.operators.supersession import drop_superseded
 from donorloom.sources.filings import read_form_registry, read_raw_contributions
@@ -16,7 +16,7 @@ from donorloom.sources.sinks import write_contributions, write_recipient_summary
 
 def build(raw: DataFrame, registry: DataFrame, parents: DataFrame, affiliated: DataFrame) -> dict[str, DataFrame]:
     """The clean table, its summary by recipient and year, and the report of the build."""
-    matched = materialize(matched_rows(raw, parents, affiliated), "matched")
+    matched = materialize(matched_rows(raw, parents, affiliated, donor_dictionary(raw, parents, affiliated)), "matched")
     kept = drop_superseded(matched, registry, ein="own_ein")
     return {"contributions": kept.select(*CONTRIBUTION_COLUMNS), "summary": recipient_summary(kept), "report": build_report(raw, matched, kept)}
 

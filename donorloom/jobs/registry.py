@@ -96,15 +96,16 @@ def s2_j3_f10_insert_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM matched m LEFT JOIN winners w ON w.ein = m.own_ein AND w.day = CAST(filing_day AS BIGINT) GROUP BY ALL"""))
 def j4_f11_supersession(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of each filing and day, the winning filing of the day, and whether they are superseded."""
-    rows = materialize(V.matched(spark, sf_dir), "matched")
-    marked = supersession.mark_superseded(rows, registry(V.registry_src(rows)), ein="own_ein")
+    rows = V.matched(spark, sf_dir)
+    days = supersession.calendar(rows, "own_ein")
+    marked = supersession.mark_superseded(rows, registry(V.registry_src(days)), ein="own_ein", days=days)
     return marked.groupBy("own_ein", "form_id", "filing_day", "winner", "superseded").agg(F.count("*").alias("n"))
 
 
 @_query(O.query("""SELECT donor, "last", "first", is_company, donor_type, employer, occupation, street, city, state, zip_code, amount, strftime("date", '%Y-%m-%d') AS day, recipient, recipient_party, recipient_ein, affiliated_from FROM kept"""))
 def s6_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The clean table, every row."""
-    rows = V.contributions(spark, sf_dir)
+    rows = V.contributions(spark, sf_dir, dictionary=True)
     return rows.withColumn("day", F.date_format("date", "yyyy-MM-dd")).drop("date")
 
 
@@ -121,7 +122,8 @@ def a1_recipient_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL SELECT 'parent year', recipient_ein || ' ' || coalesce(substr(filing_day, 1, 4), '?'), count(*) FROM matched GROUP BY ALL"""))
 def a12_build_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of the build."""
-    matched = materialize(V.matched(spark, sf_dir), "matched")
+    narrow = ("donor_type", "own_ein", "recipient_ein", "filing_day", "form_id", "period_begin", "period_end", "date")
+    matched = materialize(V.matched(spark, sf_dir, dictionary=True).select(*narrow), "matched")
     return reports.build_report(V.contributions_src(spark, sf_dir), matched, V.kept_of(matched))
 
 
@@ -351,7 +353,8 @@ def j10_address_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _compared(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = V.contributions(spark, sf_dir).filter(filters.within_dates(f"{YEAR}-01-01", f"{YEAR}-12-31"))
     rows = materialize(rows, "year")
-    return materialize(compare.attach_clusters(rows, clusters.canonicals(rows).select("donor", F.col("canonical").alias("canonical_donor"))), "compared")
+    named = materialize(clusters.canonicals(rows).select("donor", F.col("canonical").alias("canonical_donor")), "named")
+    return compare.attach_clusters(rows, named)
 
 
 _COMPARED = f"""{_CANON}, compared AS (SELECT k.*, canonical AS canonical_donor FROM kept k JOIN named USING (donor) WHERE "date" BETWEEN TIMESTAMP '{YEAR}-01-01' AND TIMESTAMP '{YEAR}-12-31'),

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from donorloom.operators.rollup import CONTRIBUTION_COLUMNS, matched_rows
-from donorloom.operators.shared import materialize, ship_package
-from donorloom.operators.supersession import drop_superseded
+from donorloom.operators.rollup import CONTRIBUTION_COLUMNS, donor_dictionary, matched_rows
+from donorloom.operators.shared import ship_package
+from donorloom.operators.supersession import calendar, drop_superseded
 from donorloom.sources.filings import registry
 
 TARGETS, AFFILIATES = range(12), range(12, 22)
@@ -67,20 +67,23 @@ def affiliated(spark: SparkSession) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {rows} AS t(ein, parent_ein)")
 
 
-def matched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matched_rows(contributions_src(spark, sf_dir), parents(spark), affiliated(spark))
+def matched(spark: SparkSession, sf_dir: str, dictionary: bool = False) -> DataFrame:
+    """Matched rows; with ``dictionary`` distinct donors are classified first, for queries that read all rows' classes."""
+    src, lookups = contributions_src(spark, sf_dir), (parents(spark), affiliated(spark))
+    return matched_rows(src, *lookups, donor_dictionary(src, *lookups) if dictionary else None)
 
 
-def kept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kept_of(materialize(matched(spark, sf_dir), "matched"))
+def kept(spark: SparkSession, sf_dir: str, dictionary: bool = False) -> DataFrame:
+    return kept_of(matched(spark, sf_dir, dictionary))
 
 
 def kept_of(rows: DataFrame) -> DataFrame:
     """Matched rows less the superseded ones. A form is one recipient's, so its rows are all matched or none is, and the
-    registry can be made of the matched rows."""
-    return drop_superseded(rows, registry(registry_src(rows)), ein="own_ein")
+    registry can be made of the matched rows. Rows stay lazy: what a query does not read is never made."""
+    days = calendar(rows, "own_ein")
+    return drop_superseded(rows, registry(registry_src(days)), ein="own_ein", days=days)
 
 
-def contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def contributions(spark: SparkSession, sf_dir: str, dictionary: bool = False) -> DataFrame:
     """The clean table that the reference publishes."""
-    return kept(spark, sf_dir).select(*CONTRIBUTION_COLUMNS)
+    return kept(spark, sf_dir, dictionary).select(*CONTRIBUTION_COLUMNS)
