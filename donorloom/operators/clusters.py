@@ -11,6 +11,7 @@ from donorloom.functions.similarity import indel_ratio
 from donorloom.operators import similar
 from donorloom.operators.aliases import alias_forms
 from donorloom.operators.components import connected_components
+from donorloom.operators.prefixes import prefix_pairs
 from donorloom.operators.shared import materialize
 
 #: Names of one block up to which all are compared with all.
@@ -52,14 +53,11 @@ def group_edges(named: DataFrame, donor_groups: DataFrame) -> DataFrame:
 
 def prefix_edges(names: DataFrame) -> DataFrame:
     """``(a, b)``: names of 7 or more characters where ``a`` begins ``b``: two words or more of 10 characters, or one whole
-    word. Prefixes of the longer name are joined to the shorter by equality."""
-    own = names.select("canonical").distinct().filter(F.length("canonical") >= 7)
-    starts = F.transform(F.sequence(F.lit(7), F.length("canonical") - 1), lambda n: F.substr("canonical", F.lit(1), n))
-    prefix = own.filter(F.length("canonical") >= 8).select(F.col("canonical").alias("b"), F.explode(starts).alias("a"))
-    met = prefix.join(own.select(F.col("canonical").alias("a")), "a")
-    words = n_words(F.col("a"))
-    whole = F.substr("b", F.length("a") + 1, F.lit(1)) == " "
-    return met.filter(((words >= 2) & (F.length("a") >= 10)) | ((words == 1) & whole)).select("a", "b")
+    word."""
+    own = names.select(F.col("canonical").alias("text")).distinct().filter(F.length("text") >= 7)
+    words = n_words(F.col("text"))
+    begins = own.withColumn("free", (words >= 2) & (F.length("text") >= 10)).filter(F.col("free") | (words == 1))
+    return prefix_pairs(begins, own).filter("shorter != longer").select(F.col("shorter").alias("a"), F.col("longer").alias("b"))
 
 
 def fuzzy_pairs(names: DataFrame, block_names: int = BLOCK_NAMES) -> DataFrame:

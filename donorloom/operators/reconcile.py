@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from donorloom.operators.aliases import with_aliases
 from donorloom.functions.names import canonical_name, name_variants
 from donorloom.operators.clusters import n_words
+from donorloom.operators.prefixes import prefix_pairs
 
 RANK = ("No", "Close match", "Yes")
 
@@ -51,15 +52,14 @@ def match_prefix(companies: DataFrame, owned: DataFrame, groups: DataFrame | Non
         v = F.col("variant")
         return df.filter(F.when(n_words(v) >= 2, F.length(v) >= 10).otherwise(F.length(v) >= 7))
 
-    def starts(df: DataFrame, keep: str) -> DataFrame:
-        cut = F.explode(F.transform(F.sequence(F.lit(7), F.length("variant")), lambda n: F.substr("variant", F.lit(1), n)))
-        return df.select(keep, F.col("variant").alias("longer"), cut.alias("shorter"))
+    def pairs(shorter: DataFrame, longer: DataFrame) -> DataFrame:
+        texts = lambda df: df.select(F.col("variant").alias("text")).distinct()
+        met = prefix_pairs(texts(shorter).withColumn("free", n_words(F.col("text")) >= 2), texts(longer))
+        met = met.join(shorter.withColumnRenamed("variant", "shorter"), "shorter").join(longer.withColumnRenamed("variant", "longer"), "longer")
+        return met.select("company", "donor", "shorter")
 
     left, right = fit(_variants(companies, "company", groups)), fit(owned)
-    a = starts(left, "company").join(right.withColumnRenamed("variant", "shorter"), "shorter").select("company", "donor", "shorter", "longer")
-    b = starts(right, "donor").join(left.withColumnRenamed("variant", "shorter"), "shorter").select("company", "donor", "shorter", "longer")
-    whole = (F.col("longer") == F.col("shorter")) | F.col("longer").startswith(F.concat(F.col("shorter"), F.lit(" ")))
-    met = a.union(b).filter((n_words(F.col("shorter")) >= 2) | whole)
+    met = pairs(right, left).union(pairs(left, right))
     best = F.min(F.struct((-F.length("shorter")).alias("n"), canonical_name(F.col("donor")).alias("canonical"), "donor"))
     return met.groupBy("company").agg(best["donor"].alias("donor"))
 

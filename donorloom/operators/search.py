@@ -14,6 +14,7 @@ from donorloom.functions.similarity import partial_ratios, ratios
 from donorloom.operators.addresses import shared_keys
 from donorloom.operators.aliases import alias_forms, group_forms, with_aliases
 from donorloom.operators.clusters import n_words
+from donorloom.operators.prefixes import prefix_pairs
 from donorloom.operators.shared import materialize
 from donorloom.operators.term_index import TermIndex
 
@@ -46,17 +47,21 @@ def _exact(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
 
 def _prefix(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
     """Pairs of which one variant begins the other: any prefix of 6 characters or more, a whole first word of 2 to 5."""
+    v = F.col("text")
 
-    def starts(df: DataFrame, keep: list[str]) -> DataFrame:
-        cut = F.explode(F.transform(F.sequence(F.lit(2), F.length("variant")), lambda n: F.substr("variant", F.lit(1), n)))
-        return df.filter(F.length("variant") >= 2).select(*keep, F.col("variant").alias("longer"), cut.alias("shorter"))
+    def begins(df: DataFrame) -> DataFrame:
+        own = df.select(F.col("variant").alias("text")).distinct().filter(F.length("text") >= 2)
+        return own.withColumn("free", F.length(v) >= 6).filter(F.col("free") | (n_words(v) == 1))
 
-    def ok() -> Column:
-        s, whole = F.col("shorter"), (F.col("longer") == F.col("shorter")) | F.col("longer").startswith(F.concat(F.col("shorter"), F.lit(" ")))
-        return (F.length(s) >= 6) | ((n_words(s) == 1) & whole)
+    def texts(df: DataFrame) -> DataFrame:
+        return df.select(F.col("variant").alias("text")).filter(F.length("text") >= 2).distinct()
 
-    a = starts(right, ["donor"]).join(left.withColumnRenamed("variant", "shorter"), "shorter").filter(ok()).select(*key, "donor")
-    b = starts(left, key).join(right.withColumnRenamed("variant", "shorter"), "shorter").filter(ok()).select(*key, "donor")
+    def named(pairs: DataFrame, shorter: DataFrame, longer: DataFrame) -> DataFrame:
+        met = pairs.join(shorter.withColumnRenamed("variant", "shorter"), "shorter").join(longer.withColumnRenamed("variant", "longer"), "longer")
+        return met.select(*key, "donor")
+
+    a = named(prefix_pairs(begins(left), texts(right)), left, right)
+    b = named(prefix_pairs(begins(right), texts(left)), right, left)
     return a.union(b).distinct()
 
 
