@@ -142,6 +142,17 @@ def p9_p14_a10_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("day", F.date_format("date", "yyyy-MM-dd")).drop("date")
 
 
+@_query(O.query(f"""SELECT DISTINCT {_COLUMNS}, strftime("date", '%Y-%m-%d') AS day FROM {_SEARCHED} AND donor IN (SELECT donor FROM matched WHERE contains(donor, 'Corp'))"""))
+def s6_p9_stored_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search of chosen donors, of the clean table as it is stored: by folders of years and files of donors."""
+    path = _path(spark, "laid-out")
+    rows = V.contributions(spark, sf_dir, dictionary=True)
+    sinks.write_contributions(rows, path)
+    chosen = V.matched(spark, sf_dir).filter(F.col("donor").contains("Corp")).select("donor")
+    found = filters.search_table(spark, path, _SEARCH, chosen)
+    return found.withColumn("day", F.date_format("date", "yyyy-MM-dd")).drop("date")
+
+
 @_query(O.query(f"""SELECT DISTINCT {_COLUMNS}, strftime("date", '%Y-%m-%d') AS day FROM kept WHERE employer = 'Acme' AND regexp_matches(upper(occupation), 'RET.*D') AND donor IN (SELECT donor FROM matched WHERE contains(donor, 'Ann'))"""))
 def p11_p12_donor_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A search by chosen donors, employer and occupation."""

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from donorloom.sources.filings import read_contributions
+
 
 @dataclass
 class Search:
@@ -56,8 +58,16 @@ def amount_bounds(least: float, most: float) -> Column:
     return test
 
 
+#: Chosen donors up to which their names are a filter that the files' statistics and Bloom filters see.
+LISTED = 1000
+
+
 def of_donors(df: DataFrame, donors: DataFrame) -> DataFrame:
-    return df.join(donors.select("donor").distinct(), "donor", "left_semi")
+    chosen = donors.select("donor").distinct()
+    listed = [r["donor"] for r in chosen.limit(LISTED + 1).collect()]
+    if len(listed) <= LISTED:
+        return df.filter(F.col("donor").isin([d for d in listed if d is not None]))
+    return df.join(chosen, "donor", "left_semi")
 
 
 def search_contributions(df: DataFrame, s: Search, donors: DataFrame | None = None) -> DataFrame:
@@ -71,5 +81,11 @@ def search_contributions(df: DataFrame, s: Search, donors: DataFrame | None = No
     return kept.distinct() if s.dedupe else kept
 
 
+def search_table(spark: SparkSession, path: str, s: Search, donors: DataFrame | None = None) -> DataFrame:
+    """``search_contributions`` of a stored table (``sources.sinks.write_contributions``): days choose its folders, chosen donors
+    and recipients its files and row groups."""
+    return search_contributions(read_contributions(spark, path, s.start, s.end), s, donors)
+
+
 def split_by_type(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return df.filter(F.col("donor_type") == "Individual"), df.filter(F.col("donor_type") == "Non-Individual")

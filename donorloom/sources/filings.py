@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from donorloom.functions.cleaning import insert_key, parse_dollar, strip
+from donorloom.sources.sinks import YEAR
 
 RAW_COLUMNS = (
     "recipient_ein", "recipient_name", "contributor_name", "employer", "occupation", "amount", "date", "period_begin",
@@ -38,9 +39,15 @@ def read_form_registry(spark: SparkSession, path: str) -> DataFrame:
     return registry(_csv(spark, path).select("form_id", "insert_dt"))
 
 
-def read_contributions(spark: SparkSession, path: str) -> DataFrame:
-    """Clean contributions; dates that are none become null, amounts that are none 0."""
+def read_contributions(spark: SparkSession, path: str, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Clean contributions; dates that are none become null, amounts that are none 0. With a first or last day only the
+    folders of those years are read (of a table with that layout); rows of the years' other days are among them."""
     rows = spark.read.parquet(path)
+    if YEAR in rows.columns:
+        years = F.col(YEAR)
+        rows = rows.filter(years >= F.year(F.lit(start).cast("date"))) if start else rows
+        rows = rows.filter(years <= F.year(F.lit(end).cast("date"))) if end else rows
+        rows = rows.drop(YEAR)
     date = F.col("date") if dict(rows.dtypes)["date"].startswith("timestamp") else F.try_to_timestamp(F.col("date").cast("string"))
     amount = F.coalesce(F.col("amount").try_cast("double"), F.lit(0.0))
     return rows.withColumns({"date": date, "amount": F.when(F.isnan(amount), 0.0).otherwise(amount)})
