@@ -13,7 +13,7 @@ from donorloom.functions import names as N
 from donorloom.functions.similarity import indel_ratio, partial_ratio
 from donorloom.jobs import oracles as O
 from donorloom.jobs import views as V
-from donorloom.operators import addresses, aliases, clusters, compare, filters, reconcile, reports, rollup, search, supersession
+from donorloom.operators import addresses, aliases, clusters, compare, components, filters, reconcile, reports, rollup, search, supersession
 from donorloom.operators.shared import materialize, shared_dir
 from donorloom.sources import filings, sinks
 from donorloom.sources.filings import registry
@@ -340,6 +340,18 @@ def j18_a13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.cluster_donors(V.matched(spark, sf_dir).select("donor"), groups=_groups(spark))
 
 
+@_query(O.query("SELECT donor, canonical_donor FROM named JOIN label ON canonical = n", f"{_CANON},{_PREFIX},{_FUZZY},{_ALIAS},{_MEMBERS},{_EDGES}"))
+def j18_grown_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same clusters, grown from three batches of links that arrive one after the other."""
+    named = materialize(_named(spark, sf_dir), "canonicals")
+    links = materialize(clusters.donor_links(named, groups=_groups(spark)), "links")
+    batch = F.pmod(F.xxhash64(F.least("a", "b"), F.greatest("a", "b")), F.lit(3))
+    grown = components.connected_components(links.filter(batch == 0))
+    for i in (1, 2):
+        grown = materialize(components.grow_components(grown, links.filter(batch == i)), "grown")
+    return clusters.label_donors(named, grown)
+
+
 _PLACES = f"""places AS (SELECT DISTINCT canonical, upper(state) AS st, upper(city) AS town, {O.street('street')} AS base, {O.secondary('street')} AS part
   FROM named JOIN (SELECT DISTINCT upper(donor) AS u, street, city, state FROM matched WHERE trim(street) <> '') ON upper(donor) = u),
 bases AS (SELECT DISTINCT p.base AS x, q.base AS y FROM (SELECT DISTINCT base FROM places) p CROSS JOIN (SELECT DISTINCT base FROM places) q),{O.subsequences('bases', 'street_ratios')},

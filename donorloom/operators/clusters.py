@@ -104,26 +104,32 @@ def address_candidates(met: DataFrame) -> DataFrame:
     return met.filter((street >= STREET_RATIO) & (no_city | (city >= CITY_RATIO)) & ~apart)
 
 
-def cluster_donors(donors: DataFrame, addresses: DataFrame | None = None, donor_groups: DataFrame | None = None, groups: DataFrame | None = None, fuzzy: bool = True) -> DataFrame:
-    """``(donor, canonical_donor)`` for every distinct donor: components of the links by equal canonical name, alias and
-    validated groups, prefixes, similarity and, for borderline pairs, addresses. A cluster is named by its shortest
-    canonical name, the first by code point among equals."""
-    named = materialize(canonicals(donors), "canonicals")
+def donor_links(named: DataFrame, addresses: DataFrame | None = None, donor_groups: DataFrame | None = None, groups: DataFrame | None = None, fuzzy: bool = True) -> DataFrame:
+    """``(a, b)``: all links between canonical names: prefixes, alias and validated groups, similarity and, for borderline pairs,
+    addresses."""
     names = named.select("canonical").distinct()
-    edges = [prefix_edges(names)]
+    both = prefix_edges(names)
     if groups is not None:
-        edges.append(alias_edges(named, groups))
+        both = both.union(alias_edges(named, groups))
     if donor_groups is not None:
-        edges.append(group_edges(named, donor_groups))
+        both = both.union(group_edges(named, donor_groups))
     if fuzzy:
         pairs = materialize(fuzzy_pairs(names), "similar")
-        edges.append(fuzzy_edges(pairs))
+        both = both.union(fuzzy_edges(pairs))
         if addresses is not None:
-            edges.append(address_edges(pairs, named, addresses))
-    both = edges[0]
-    for e in edges[1:]:
-        both = both.union(e)
-    component = connected_components(both)
+            both = both.union(address_edges(pairs, named, addresses))
+    return both
+
+
+def label_donors(named: DataFrame, component: DataFrame) -> DataFrame:
+    """``(donor, canonical_donor)``: a cluster is named by its shortest canonical name, the first by code point among equals."""
+    names = named.select("canonical").distinct()
     member = names.join(component, names["canonical"] == component["node"], "left").select("canonical", F.coalesce("component", "canonical").alias("component"))
     label = member.groupBy("component").agg(F.min(F.struct(F.length("canonical").alias("n"), "canonical"))["canonical"].alias("canonical_donor"))
     return named.join(member.join(label, "component"), "canonical").select("donor", "canonical_donor")
+
+
+def cluster_donors(donors: DataFrame, addresses: DataFrame | None = None, donor_groups: DataFrame | None = None, groups: DataFrame | None = None, fuzzy: bool = True) -> DataFrame:
+    """``(donor, canonical_donor)`` for every distinct donor: components of all links between canonical names."""
+    named = materialize(canonicals(donors), "canonicals")
+    return label_donors(named, connected_components(donor_links(named, addresses, donor_groups, groups, fuzzy)))

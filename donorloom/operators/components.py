@@ -1,4 +1,4 @@
-"""Connected components on DataFrames: alternating large-star and small-star (Kiveris et al., SoCC 2014)."""
+"""Connected components on DataFrames: alternating large-star and small-star (Kiveris et al., SoCC 2014), and components that grow."""
 
 from __future__ import annotations
 
@@ -56,3 +56,22 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
+
+
+def grow_components(known: DataFrame, edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 50) -> DataFrame:
+    """``(node, component)`` of ``known`` (the same columns) after links are added, without touching the links that made it.
+
+    Each component that is known stands for its nodes: only the new links between different components, and between nodes that
+    are new, go through the rounds. Nodes of components that stay as they are keep their row. As in a full run, ``component`` is the
+    least node reachable. Null ends and self-links are ignored; ``known`` may be empty.
+    """
+    ends = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u is not null and v is not null and u != v")
+    of = lambda end: known.select(F.col("node").alias(end), F.col("component").alias(f"{end}_own"))
+    met = ends.join(of("u"), "u", "left").join(of("v"), "v", "left")
+    met = materialize(met.select("u", "v", F.coalesce("u_own", "u").alias("a"), F.coalesce("v_own", "v").alias("b")), "new-links")
+    merged = materialize(connected_components(met.select("a", "b"), max_rounds=max_rounds), "merged")
+    root = merged.select(F.col("node").alias("component"), F.col("component").alias("root"))
+    old = known.join(root, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+    fresh = met.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("a").alias("own")), F.struct(F.col("v").alias("node"), F.col("b").alias("own")))).alias("x"))
+    fresh = fresh.select("x.*").filter("node = own").distinct().join(known.select("node"), "node", "left_anti")
+    return old.union(fresh.join(root, fresh["own"] == root["component"], "left").select("node", F.coalesce("root", "own").alias("component")))
