@@ -1,9 +1,12 @@
 """Homomorphic multiset fingerprints of texts, with Spark expressions alone.
 
-A text is the multiset of its paragraphs (lines), a paragraph that of its clauses: pieces that end after stops, or after 32
-characters. A clause is hashed to 120 bits (of its MD5 sum); the vector of a paragraph counts, for each bit, the clauses that
-have it set, packed as 60 numbers of two lanes of 30 bits. Vectors are added modulo 2**60, so that of a text is the sum of
-its paragraphs', order does not count, and paragraphs can be put in or taken out. A clause and what parts it from the next
+A text is the multiset of its paragraphs (lines) and a number of line breaks. A paragraph is hashed as a whole, to a vector of four
+numbers of 60 bits (of its SHA-256 sum); the text's is the sum of them modulo 2**60. So order does not count, paragraphs can be
+put in or taken out, and texts of different paragraphs have different fingerprints. An empty paragraph is 0.
+
+For likeness there stands beside it a vector of the clauses of all paragraphs: pieces that end after stops, or after 32
+characters. A clause is hashed to 120 bits (of its MD5 sum); the vector counts, for each bit, the clauses that have it set, packed
+as 60 numbers of two lanes of 30 bits, and is added modulo 2**60 as well. A clause and what parts it from the next
 take two bytes at least, so a text (2 GB at most) has fewer than 2**30 of them and no lane of it overflows. As every bit is a
 random vote of a clause, the cosine of two vectors, votes counted as +1 and -1, estimates how much of the texts agrees.
 """
@@ -18,6 +21,8 @@ from donorloom.operators.shared import materialize
 
 CLAUSE = r"[^.,;:!?|]{0,31}[.,;:!?|]+ *|[^.,;:!?|]{1,32}"
 STEPS, WIDTH = 30, 30
+#: Numbers of a paragraph's vector.
+WIDE = 4
 _PICK = 1 | (1 << WIDTH)
 _MODULO = (1 << (2 * WIDTH)) - 1
 _LANE = (1 << WIDTH) - 1
@@ -27,6 +32,12 @@ BUCKET_ROWS, FAN = 2000, 1024
 SENT_HEADS = 1 << 18
 
 
+def _wide(line: Column) -> list[Column]:
+    """A paragraph's vector: 60 bits of each quarter of its SHA-256 sum; 0 for an empty one."""
+    digits = F.sha2(line.cast("binary"), 256)
+    return [F.when(line != "", F.conv(F.substr(digits, F.lit(16 * i + 1), F.lit(15)), 16, 10).cast("long")).otherwise(F.lit(0).cast("long")) for i in range(WIDE)]
+
+
 def _halves(digits: Column) -> tuple[Column, Column]:
     """60 bits of each half of a sum's 32 hexadecimal digits."""
     return tuple(F.conv(F.substr(digits, F.lit(at), F.lit(15)), 16, 10).cast("long") for at in (1, 17))
@@ -37,19 +48,24 @@ def _lane(x: Column, j: int) -> Column:
 
 
 def vector(text: Column) -> Column:
-    """``array<bigint>`` of one text: clauses, line breaks, then the packed counts. Null is as empty. For single values; tables
+    """``array<bigint>`` of one text: clauses, line breaks, the sum of its paragraphs, then the packed counts. Null is as empty. For single values; tables
     go through ``vectors``, which gives the same."""
     lines = F.split(F.coalesce(text, F.lit("")), "\n")
     clauses = F.flatten(F.transform(lines, lambda line: F.regexp_extract_all(line, F.lit(CLAUSE), F.lit(0))))
     hashes = F.transform(F.transform(clauses, lambda c: F.md5(c.cast("binary"))), lambda d: F.struct(*(h.alias(n) for h, n in zip(_halves(d), "xy", strict=True))))
 
+    paragraphs = F.transform(lines, lambda line: F.array(*_wide(line)))
+    zero = F.array(*[F.lit(0).cast("long")] * WIDE)
+    whole = F.aggregate(paragraphs, zero, lambda acc, p: F.zip_with(acc, p, lambda x, y: (x + y).bitwiseAND(F.lit(_MODULO))))
+
     def packed(h: Column) -> Column:
         def summed(p: str, j: int) -> Column:
             return F.aggregate(h, F.lit(0).cast("long"), lambda acc, v: acc + _lane(v[p], j))
 
-        return F.array(F.size(h).cast("long"), (F.size(lines) - 1).cast("long"), *(summed(p, j) for p in "xy" for j in range(STEPS)))
+        return F.array(*(summed(p, j) for p in "xy" for j in range(STEPS)))
 
-    return F.element_at(F.transform(F.array(hashes), packed), 1)
+    counts = F.element_at(F.transform(F.array(hashes), packed), 1)
+    return F.concat(F.array(F.size(clauses).cast("long"), (F.size(lines) - 1).cast("long")), whole, counts)
 
 
 def vectors(rows: DataFrame, text_col: str = "text", name: str = "print") -> DataFrame:
@@ -57,13 +73,19 @@ def vectors(rows: DataFrame, text_col: str = "text", name: str = "print") -> Dat
     in one aggregation. Where ``rows`` are partitioned by some of these columns, nothing moves."""
     keys = [c for c in rows.columns if c != text_col]
     lines = rows.select(*keys, F.explode(F.split(F.coalesce(text_col, F.lit("")), "\n")).alias("_line"))
-    each = lines.select(*keys, F.posexplode_outer(F.regexp_extract_all("_line", F.lit(CLAUSE), F.lit(0))).alias("_i", "_c"))
+    wide = [f"_w{i}" for i in range(WIDE)]
+    lines = lines.select(*keys, "_line", *(w.alias(n) for w, n in zip(_wide(F.col("_line")), wide, strict=True)))
+    each = lines.select(*keys, *wide, F.posexplode_outer(F.regexp_extract_all("_line", F.lit(CLAUSE), F.lit(0))).alias("_i", "_c"))
     each = each.withColumn("_d", F.md5(F.col("_c").cast("binary")))
     x, y = (F.coalesce(h, F.lit(0).cast("long")) for h in _halves(F.col("_d")))
-    each = each.select(*keys, F.col("_c").isNotNull().cast("int").alias("_n"), (F.coalesce("_i", F.lit(0)) == 0).cast("int").alias("_first"), x.alias("_x"), y.alias("_y"))
+    first = F.coalesce("_i", F.lit(0)) == 0  # a paragraph counts at its first clause
+    each = each.select(*keys, F.col("_c").isNotNull().cast("int").alias("_n"), first.cast("int").alias("_first"), x.alias("_x"), y.alias("_y"), *(F.when(first, F.col(w)).otherwise(F.lit(0).cast("long")).alias(w) for w in wide))
     sums = {f"_{p}{j}": F.sum(_lane(F.col(f"_{p}"), j)) for p in "xy" for j in range(STEPS)}
-    summed = each.groupBy(*keys).agg(F.sum("_n").alias("_clauses"), (F.sum("_first") - 1).alias("_breaks"), *(s.alias(n) for n, s in sums.items()))
-    return summed.select(*keys, F.array("_clauses", "_breaks", *sums).alias(name))
+    # halves of 30 bits are summed, as a text has fewer than 2**31 paragraphs
+    low, high = ({f"{w}{half}": F.sum(f(F.col(w))) for w in wide} for half, f in (("l", lambda c: c.bitwiseAND(F.lit(_LANE))), ("h", lambda c: F.shiftright(c, WIDTH))))
+    summed = each.groupBy(*keys).agg(F.sum("_n").alias("_clauses"), (F.sum("_first") - 1).alias("_breaks"), *(s.alias(n) for n, s in (low | high | sums).items()))
+    whole = [(F.shiftleft(F.col(f"{w}h").bitwiseAND(F.lit(_LANE)), WIDTH) + F.col(f"{w}l")).bitwiseAND(F.lit(_MODULO)) for w in wide]
+    return summed.select(*keys, F.array("_clauses", "_breaks", *whole, *sums).alias(name))
 
 
 def add(a: Column, b: Column) -> Column:
@@ -83,7 +105,7 @@ def printed(v: Column) -> Column:
 
 def votes(v: Column) -> Column:
     """Bits set less bits not set, for each of the 120 bits."""
-    counts = F.slice(v, 3, 2 * STEPS)
+    counts = F.slice(v, 3 + WIDE, 2 * STEPS)
 
     def lane(shift: int) -> Column:
         return F.transform(counts, lambda x: F.shiftright(x, shift).bitwiseAND(F.lit(_LANE)))

@@ -169,12 +169,14 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, coalesce(component_id, doc_id) A
 
 
 def _op9() -> str:
-    """The fingerprints as SQL: clauses as rows, a sum for each lane."""
+    """The fingerprints as SQL: paragraphs and clauses as rows, a sum for each number and lane."""
     lanes = [f"CAST(sum(({p} >> {j}) & {1 | 1 << fingerprint.WIDTH}) AS BIGINT) AS {p}{j}" for p in "xy" for j in range(fingerprint.STEPS)]
     names = [f"{p}{j}" for p in "xy" for j in range(fingerprint.STEPS)]
     half = "CAST('0x' || substr(d, {}, 15) AS BIGINT)"
+    wide = [f"w{i}" for i in range(fingerprint.WIDE)]
+    summed = ", ".join(f"CAST(sum(CASE WHEN line = '' THEN 0 ELSE CAST('0x' || substr(d, {16 * i + 1}, 15) AS BIGINT) END) % {1 << 2 * fingerprint.WIDTH} AS BIGINT) AS w{i}" for i in range(fingerprint.WIDE))
     votes = [f"CAST(2 * (({n} >> {s}) & {(1 << fingerprint.WIDTH) - 1}) - clauses AS DOUBLE)" for s in (0, fingerprint.WIDTH) for n in names]
-    shown = "concat_ws('.', " + ", ".join(f"printf('%X', {n})" for n in ("clauses", "breaks", *names)) + ")"
+    shown = "concat_ws('.', " + ", ".join(f"printf('%X', {n})" for n in ("clauses", "breaks", *wide, *names)) + ")"
     dot = "list_sum(list_transform(list_zip({0}.votes, {1}.votes), lambda z: z[1] * z[2]))"
     like = "CASE WHEN {0}.shown = {1}.shown THEN 1.0 WHEN {0}.norm * {1}.norm = 0 THEN 0.0 ELSE greatest(0.0, least(1.0, " + dot + " / sqrt({0}.norm * {1}.norm))) END"
     return f"""
@@ -186,7 +188,8 @@ lines AS (SELECT doc_id, side, unnest(string_split(text, chr(10))) AS line FROM
 pieces AS (SELECT doc_id, side, unnest(CASE WHEN line = '' THEN [NULL] ELSE regexp_extract_all(line, '{fingerprint.CLAUSE}') END) AS c FROM lines),
 bits AS (SELECT doc_id, side, c IS NOT NULL AS piece, coalesce({half.format(1)}, 0) AS x, coalesce({half.format(17)}, 0) AS y FROM (SELECT *, md5(c) AS d FROM pieces)),
 sums AS (SELECT doc_id, side, count(*) FILTER (WHERE piece) AS clauses, {", ".join(lanes)} FROM bits GROUP BY 1, 2),
-made AS (SELECT doc_id, side, {shown} AS shown, [{", ".join(votes)}] AS votes FROM sums JOIN (SELECT doc_id, side, length(text) - length(replace(text, chr(10), '')) AS breaks FROM sides) USING (doc_id, side)),
+paragraphs AS (SELECT doc_id, side, {summed} FROM (SELECT *, sha256(line) AS d FROM lines) GROUP BY 1, 2),
+made AS (SELECT doc_id, side, {shown} AS shown, [{", ".join(votes)}] AS votes FROM sums JOIN paragraphs USING (doc_id, side) JOIN (SELECT doc_id, side, length(text) - length(replace(text, chr(10), '')) AS breaks FROM sides) USING (doc_id, side)),
 prints AS (SELECT *, list_sum(list_transform(votes, lambda v: v * v)) AS norm FROM made)
 SELECT e.doc_id, CAST(length(e.text) AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256, p.shown AS fingerprint, q.shown AS edited_fingerprint,
        round(CAST({like.format('p', 'q')} AS DOUBLE), 6) AS near_edited, round(CAST({like.format('p', 'n')} AS DOUBLE), 6) AS near_next

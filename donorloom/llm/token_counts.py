@@ -105,16 +105,15 @@ def count_tokens(words: list[str], pieces: Pieces) -> dict[str, int]:
     return out
 
 
-_made: dict[int, Pieces] = {}
+_made: list = [None, None]
 
 
 def _pieces(sent) -> Pieces:
-    """The automaton of a broadcast vocabulary, once a worker."""
-    key = id(sent.value)
-    if key not in _made:
-        _made.clear()
-        _made[key] = Pieces(sent.value)
-    return _made[key]
+    """The automaton of a broadcast vocabulary, made once for as long as a worker is asked for the same; the value is held
+    beside it, so that no other can be taken for it."""
+    if _made[0] is not sent.value:
+        _made[:] = sent.value, Pieces(sent.value)
+    return _made[1]
 
 
 def _counted(sent):

@@ -345,13 +345,12 @@ def score_toxicity(docs: DataFrame, model: Model, threshold: float = 0.7) -> Dat
     return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
-_made: dict[int, Automaton] = {}
+_made: list = [None, None]
 
 
 def _automaton(sent) -> Automaton:
-    """The automaton of a broadcast model or lexicon, once a worker."""
-    key = id(sent.value)
-    if key not in _made:
-        _made.clear()
-        _made[key] = Automaton(sent.value.terms, sent.value.ordinary)
-    return _made[key]
+    """The automaton of a broadcast model or lexicon, made once for as long as a worker is asked for the same; the value is
+    held beside it, so that no other can be taken for it."""
+    if _made[0] is not sent.value:
+        _made[:] = sent.value, Automaton(sent.value.terms, sent.value.ordinary)
+    return _made[1]

@@ -77,6 +77,16 @@ def test_fingerprints_add_up(spark):
     assert got["sum"] == got["ab"] and got["less"] == got["a"] and got["a"] != got["ab"] and set(got["n"]) == {0}
 
 
+def test_fingerprints_are_of_paragraphs(spark):
+    """Texts of the same clauses in other paragraphs differ; paragraphs in another order do not; one can be taken out and put in."""
+    texts = ["a.b.\nc.", "a.\nb.c.", "c.\na.b.", "a.b.\nc.\nx. y", "x. y", "a.b.\n\nc."]
+    got = [r["v"] for r in spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", fingerprint.vector(F.col("text")).alias("v")).orderBy("i").collect()]
+    assert got[0] != got[1] and got[0] == got[2] and got[0] != got[5]
+    row = spark.createDataFrame([(got[3], got[4], got[2])], "whole array<bigint>, part array<bigint>, rest array<bigint>")
+    less, more = row.select(fingerprint.remove(F.col("whole"), F.col("part")), fingerprint.add(F.col("rest"), F.col("part"))).first()
+    assert less[0] == got[0][0] and less[2:] == got[0][2:] and more[2:] == got[3][2:]  # the break between them is of neither
+
+
 def plain_vector(text):
     """The same fingerprint in plain Python."""
     counts = np.zeros((2, 60), np.int64)
@@ -87,7 +97,9 @@ def plain_vector(text):
             counts[side] += [(int(digits[at : at + 15], 16) >> j) & 1 for j in range(60)]
     packed = [int(counts[side][j]) + (int(counts[side][j + 30]) << 30) for side in (0, 1) for j in range(30)]
     v = np.concatenate([2 * counts[side][a : a + 30] - len(clauses) for a in (0, 30) for side in (0, 1)]).astype(float)
-    return [len(clauses), text.count("\n"), *packed], v
+    sums = [hashlib.sha256(line.encode()).hexdigest() for line in text.split("\n") if line]
+    wide = [sum(int(d[16 * i : 16 * i + 15], 16) for d in sums) % (1 << 60) for i in range(4)]
+    return [len(clauses), text.count("\n"), *wide, *packed], v
 
 
 def plain_likeness(a, b):
