@@ -142,13 +142,13 @@ def p9_p14_a10_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("day", F.date_format("date", "yyyy-MM-dd")).drop("date")
 
 
-@_query(O.query(f"""SELECT DISTINCT {_COLUMNS}, strftime("date", '%Y-%m-%d') AS day FROM {_SEARCHED} AND donor IN (SELECT donor FROM matched WHERE contains(donor, 'Corp'))"""))
+@_query(O.query(f"""SELECT DISTINCT {_COLUMNS}, strftime("date", '%Y-%m-%d') AS day FROM {_SEARCHED} AND donor IN (SELECT donor FROM matched WHERE length(donor) % 2 = 0)"""))
 def s6_p9_stored_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same search of chosen donors, of the clean table as it is stored: by folders of years and files of donors."""
     path = _path(spark, "laid-out")
     rows = V.contributions(spark, sf_dir, dictionary=True)
     sinks.write_contributions(rows, path)
-    chosen = V.matched(spark, sf_dir).filter(F.col("donor").contains("Corp")).select("donor")
+    chosen = V.matched(spark, sf_dir).filter(F.length("donor") % 2 == 0).select("donor")
     found = filters.search_table(spark, path, _SEARCH, chosen)
     return found.withColumn("day", F.date_format("date", "yyyy-MM-dd")).drop("date")
 
@@ -649,6 +649,14 @@ def s1_raw_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filings.read_raw_contributions(spark, path).na.fill("")
 
 
+@_query(O.query("SELECT contributor_name, employer, occupation, address, city, state, zipcode, amount, date, period_begin, period_end, recipient_ein, recipient_name, form_id FROM contributions_src"))
+def s1_ranges_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through the reader of ranges of gzip files."""
+    path = _path(spark, "raw-ranges")
+    V.contributions_src(spark, sf_dir).write.option("header", True).option("escape", '"').option("compression", "gzip").csv(path)
+    return filings.read_appended_contributions(spark, path, 1 << 20).na.fill("")
+
+
 @_query(O.query("SELECT form_id, insert_key FROM form_registry"))
 def s2_registry_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The registry of forms through CSV."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from donorloom.functions.cleaning import insert_key, parse_dollar, strip
+from donorloom.sources.gzip_csv import RANGE_BYTES, read_gzip_csv
 from donorloom.sources.sinks import YEAR
 
 RAW_COLUMNS = (
@@ -30,6 +31,12 @@ def read_raw_contributions(spark: SparkSession, path: str, partitions: int | Non
     return rows.repartition(partitions or spark.sparkContext.defaultParallelism * 4)
 
 
+def read_appended_contributions(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """The same from gzip files of several members, such as extracts appended to each other: a task for each range of bytes, in
+    a file system that Arrow can open. Members that end within a record raise."""
+    return read_gzip_csv(spark, path, RAW_COLUMNS, range_bytes)
+
+
 def registry(rows: DataFrame) -> DataFrame:
     """``(form_id, insert_key)``, one row a form: the greatest key of a form that is listed twice."""
     return rows.filter("form_id is not null").groupBy("form_id").agg(F.max(insert_key(F.col("insert_dt"))).alias("insert_key"))
