@@ -420,9 +420,9 @@ def j14_u2_line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Reconciliation
 
 
-def _qc_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _qc_parts(spark: SparkSession, sf_dir: str, compared: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Donors with both amounts, and a key made of every part's name with shifted amounts."""
-    rows = _compared(spark, sf_dir).filter("donor_type = 'Non-Individual'")
+    rows = (_compared(spark, sf_dir) if compared is None else compared).filter("donor_type = 'Non-Individual'")
     side = [F.round(F.coalesce(F.sum(F.when(F.col("recipient") == r, F.col("amount"))), F.lit(0.0)), 2) for r in (A_SIDE[0], B_SIDE[0])]
     sums = rows.groupBy("canonical_donor").agg(side[0].alias("db_a"), side[1].alias("db_b"))
     donors = sums.join(compare.display_names(rows), "canonical_donor").select(F.col("display_name").alias("donor"), "db_a", "db_b")
@@ -455,6 +455,37 @@ sheet AS (SELECT company, xl_a, db_a, xl_b, db_b, ['No', 'Close match', 'Yes'][r
   CASE WHEN ra = 1 AND rb = 1 THEN 'Yes' ELSE 'No' END AS neither_match, matched_donor FROM ranked)"""
 
 
+# The same over resolved clusters: links by canonical names, alias groups, prefixes and similarity.
+
+
+def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = V.contributions(spark, sf_dir).filter(filters.within_dates(f"{YEAR}-01-01", f"{YEAR}-12-31"))
+    found = materialize(clusters.cluster_donors(V.matched(spark, sf_dir).select("donor"), groups=_groups(spark)), "clusters")
+    return compare.attach_clusters(materialize(rows, "year"), found)
+
+
+_RESOLVED = f"""{_CANON},{_PREFIX},{_FUZZY},{_ALIAS},{_MEMBERS},{_EDGES},
+compared AS (SELECT k.*, label.canonical_donor FROM kept k JOIN named USING (donor) JOIN label ON canonical = label.n WHERE "date" BETWEEN TIMESTAMP '{YEAR}-01-01' AND TIMESTAMP '{YEAR}-12-31'),
+gave AS (SELECT canonical_donor, {_cents()} AS total FROM compared WHERE recipient = 'Org 0' GROUP BY 1 HAVING {_cents()} >= 100000),
+excluded AS (SELECT canonical_donor FROM compared WHERE recipient = 'Org 1' GROUP BY 1 HAVING {_cents()} > 250000)"""
+
+
+@_query(O.query("""SELECT canonical_donor, display_name, coalesce(round(sum(amount) FILTER (WHERE recipient = 'Org 0'), 2), 0) AS "Org 0", coalesce(round(sum(amount) FILTER (WHERE recipient = 'Org 1'), 2), 0) AS "Org 1",
+    round(coalesce(round(sum(amount) FILTER (WHERE recipient = 'Org 0'), 2), 0) + coalesce(round(sum(amount) FILTER (WHERE recipient = 'Org 1'), 2), 0), 2) AS total
+    FROM compared JOIN (SELECT canonical_donor, arg_max(donor, (n, -place)) AS display_name FROM (SELECT canonical_donor, donor, count(*) AS n, row_number() OVER (PARTITION BY canonical_donor ORDER BY donor) AS place FROM compared GROUP BY 1, 2) GROUP BY 1) USING (canonical_donor)
+    WHERE recipient IN ('Org 0', 'Org 1') AND donor_type = 'Non-Individual' AND canonical_donor IN (SELECT canonical_donor FROM gave) AND canonical_donor NOT IN (SELECT canonical_donor FROM excluded) GROUP BY 1, 2""", _RESOLVED))
+def a4_j18_resolved_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What resolved clusters of organizations that qualify gave to both sides."""
+    return compare.compare(_resolved(spark, sf_dir), A_SIDE, B_SIDE, 100000, 250000)["Non-Individual"]
+
+
+@_query(O.query("SELECT * FROM sheet", _SHEET.replace(_COMPARED, _RESOLVED)))
+def w3_j18_resolved_qc_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The answer key against resolved clusters."""
+    donors, key = _qc_parts(spark, sf_dir, _resolved(spark, sf_dir))
+    return reconcile.qc_sheet(key, donors)
+
+
 @_query(O.query("SELECT * FROM sheet", _SHEET))
 def j11_j12_p18_p19_w3_qc_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals held against a key."""
