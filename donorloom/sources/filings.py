@@ -72,6 +72,19 @@ def read_donor_groups(spark: SparkSession, path: str) -> DataFrame:
     return both.groupBy("donor_upper").agg(F.max("donor_group").alias("donor_group"))
 
 
+def read_alias_groups(spark: SparkSession, path: str) -> DataFrame:
+    """``(group_id, name)`` of alias groups, as ``operators.aliases`` takes them: from CSV with a header (``group_id``, ``name``), or
+    from JSON, one list of lists of names, numbered as they come. Blank names are left out; a later group has a name that two
+    share."""
+    if path.rstrip("/").endswith(".csv"):
+        rows = _csv(spark, path).select(F.col("group_id").try_cast("int").alias("group_id"), strip(F.coalesce("name", F.lit(""))).alias("name"))
+        return rows.filter("name != '' and group_id is not null")
+    text = spark.read.text(path, wholetext=True)  # a lookup of one JSON value
+    lists = text.select(F.posexplode(F.from_json("value", "array<array<string>>")).alias("group_id", "names"))
+    rows = lists.select("group_id", F.explode("names").alias("name")).withColumn("name", strip(F.coalesce("name", F.lit(""))))
+    return rows.filter("name != ''")
+
+
 def answer_key(rows: DataFrame, company: str, a: str, b: str) -> DataFrame:
     """``(company, xl_a, xl_b)``: dollars parsed; rows without a name, or with both amounts 0, are left out."""
     name = strip(F.coalesce(F.col(company), F.lit("")))
