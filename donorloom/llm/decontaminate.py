@@ -12,6 +12,9 @@ from __future__ import annotations
 
 from collections import defaultdict
 
+import math
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -29,7 +32,7 @@ SIEVE_BITS, SIEVE_PART = 26, 20
 _MOD, _RADIX = (1 << 61) - 1, 1_000_003
 
 _FOUND = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("item_tokens", pa.int32()), ("matched", pa.int32()), ("tiles", pa.int32())])
-_ITEM_SEEDS = pa.schema([("item", pa.int64()), ("seed", pa.int64()), ("size", pa.int32())])
+_ITEM_SEEDS = pa.schema([("item", pa.int64()), ("seed", pa.int64()), ("size", pa.int32()), ("places", pa.int32()), ("need", pa.int32())])
 _SEEDS = pa.schema([("row", pa.int64()), ("seed", pa.int64())])
 _DDL = "doc_id bigint, item_id bigint, item_tokens int, matched int, tiles int"
 
@@ -218,18 +221,21 @@ def _sieve(seeds: DataFrame) -> np.ndarray:
 
 def _joined(texts: DataFrame, items: DataFrame, seed: int, coverage: float) -> DataFrame:
     """The same when the items are too many to send: seeds are joined, then each document meets its items. Documents give
-    out only seeds of the lengths that items have, and only those that the sieve lets through; hot seeds, items and
-    rows are dealt out."""
+    out only seeds of the lengths that items have, and only those that the sieve lets through; a document and an item are compared
+    if they share as many seeds as the coverage asks for; hot seeds, items and rows are dealt out."""
     texts = texts.withColumn("row", row_key("doc_id", "text"))
     items = items.withColumn("item", row_key("item_id", "text"))
 
     def item_seeds(batches):
         for b in batches:
-            out = [(b.column(0)[i].as_py(), s, min(seed, len(t))) for i, t in token_hashes(b.column(1)) for s in set(X.signed(seeds_of(t, seed)).tolist())]
+            out = [
+                (b.column(0)[i].as_py(), s, k, n, max(1, math.ceil(coverage * len(t) / k - 1e-9)))
+                for i, t in token_hashes(b.column(1)) if (k := min(seed, len(t))) for s, n in Counter(X.signed(seeds_of(t, seed)).tolist()).items()
+            ]
             if out:
                 yield X.batch(_ITEM_SEEDS, list(zip(*out, strict=True)))
 
-    keyed = materialize(items.select("item", "text").mapInArrow(item_seeds, "item bigint, seed bigint, size int").distinct(), "item-seeds")
+    keyed = materialize(items.select("item", "text").mapInArrow(item_seeds, "item bigint, seed bigint, size int, places int, need int").distinct(), "item-seeds")
     sizes = sorted(r["size"] for r in keyed.select("size").distinct().collect())  # at most ``seed`` numbers
     sieve = texts.sparkSession.sparkContext.broadcast(_sieve(keyed))
 
@@ -244,7 +250,9 @@ def _joined(texts: DataFrame, items: DataFrame, seed: int, coverage: float) -> D
                     yield X.batch(_SEEDS, [np.full(len(own), b.column(0)[i].as_py()), X.signed(own)])
 
     mine = materialize(texts.select("row", "text").mapInArrow(doc_seeds, "row bigint, seed bigint"), "doc-seeds")
-    pairs = materialize(spread_join(mine, keyed.select("item", "seed"), ["seed"]).select("row", "item").distinct(), "pairs")
+    # tiles of at least ``seed`` tokens that cover c of them hold c / seed of the item's seeds or more
+    shared = spread_join(mine, keyed.select("item", "seed", "places", "need"), ["seed"]).groupBy("row", "item").agg(F.sum("places").alias("places"), F.max("need").alias("need"))
+    pairs = materialize(shared.filter("places >= need").select("row", "item"), "pairs")
     met = materialize(spread_join(pairs, items.withColumnRenamed("text", "item_text"), ["item"]), "met")
     met = spread_join(texts, met, ["row"])
 
