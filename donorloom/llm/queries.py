@@ -28,16 +28,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _fold(modulus: int) -> Column:
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
+def _fold(modulus: int, at: int) -> Column:
+    """Whether a document is of the held-out fold, by its id; without an id it is not."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == at, F.lit(False))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's toxicity; labels of the held-out fold (remainder 1 of 3) are never read."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = fit_toxicity(docs, _table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(_fold(3) != 1))
+    model = fit_toxicity(docs, _table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(~_fold(3, 1)))
     scored = score_toxicity(docs, model, threshold=0.7)
-    return scored.select("doc_id", (_fold(3) == 1).alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", _fold(3, 1).alias("held_out"), "score", "predicted")
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,9 +83,9 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's quality; labels of the held-out fold (remainder 0 of 5) are never read."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    trees = fit_quality(docs, _table(spark, sf_dir, "labels").select("doc_id", "quality").filter(_fold(5) != 0))
+    trees = fit_quality(docs, _table(spark, sf_dir, "labels").select("doc_id", "quality").filter(~_fold(5, 0)))
     scored = score_quality(docs, trees, threshold=0.3)
-    return scored.select("doc_id", (_fold(5) == 0).alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", _fold(5, 0).alias("held_out"), "score", "predicted")
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,10 +108,10 @@ def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's probability by its words' counts, and by a suffix tree; the held-out fold (remainder 1 of 5) is never learned
     from. Documents without an id are not held out."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    train = docs.filter(~F.coalesce(_fold(5) == 1, F.lit(False)))
+    train = docs.filter(~_fold(5, 1))
     words = materialize(count_words(train), "words")
     scored = score_texts(docs, fit_suffix_tree(train, words), words)
-    return scored.withColumn("held_out", F.coalesce(_fold(5) == 1, F.lit(False)))
+    return scored.withColumn("held_out", _fold(5, 1))
 
 
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,13 +18,14 @@ def row_key(doc_id: Column | str, text: Column | str) -> Column:
 
 def spread_join(many: DataFrame, few: DataFrame, on: list[str], key_rows: int | None = None) -> DataFrame:
     """Inner join of ``many`` with ``few``. Keys with more than ``key_rows`` rows of ``many`` are found by counting; those
-    rows are dealt to as many parts as they need, and the rows of ``few`` of such a key go to each of its parts."""
+    rows are dealt by a hash of all their columns, which a task that runs again deals alike, to as many parts as they need, and the
+    rows of ``few`` of such a key go to each of its parts."""
     size = key_rows or KEY_ROWS
     hot = many.groupBy(*on).agg(F.count("*").alias("_n")).filter(F.col("_n") > size)
     hot = materialize(hot.select(*on, F.ceil(F.col("_n") / size).cast("int").alias("_parts")), "hot-keys")
     if hot.isEmpty():
         return many.join(few, on)
     parts = F.coalesce("_parts", F.lit(1))
-    dealt = many.join(hot, on, "left").withColumn("_part", F.pmod(F.monotonically_increasing_id(), parts).cast("int")).drop("_parts")
+    dealt = many.join(hot, on, "left").withColumn("_part", F.pmod(F.xxhash64(F.lit(17), *many.columns), parts).cast("int")).drop("_parts")
     copied = few.join(hot, on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
     return dealt.join(copied, [*on, "_part"]).drop("_part")

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from donorloom.llm.rows import spread_join
 from donorloom.operators.shared import materialize
 
 #: Groups in a bucket, partial partitions differenced together, and rows numbered together.
@@ -112,9 +113,9 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", te
     )
     groups = materialize(rows.groupBy("key").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")), "groups")
     total = groups.agg(F.sum("n")).first()[0] or 0
-    dealt = rows.join(shard_groups(groups.select("key", "bytes"), shards), "key").drop("key")
+    dealt = spread_join(rows, shard_groups(groups.select("key", "bytes"), shards), ["key"]).drop("key")
     cells = max(1, -(-total // (shards * slot_rows)))
-    dealt = dealt.withColumn("cell", F.pmod(F.xxhash64("doc_id", "size"), F.lit(cells)))
+    dealt = dealt.withColumn("cell", F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(cells)))
     cell = W.partitionBy("shard").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
     starts = dealt.groupBy("shard", "cell").count().select("shard", "cell", F.coalesce(F.sum("count").over(cell), F.lit(0)).alias("start"))
     within = W.partitionBy("shard", "cell").orderBy("doc_id", "size", "text_crc32")
