@@ -1,5 +1,6 @@
 import random
 
+from donorloom.operators import components
 from donorloom.operators.components import connected_components, grow_components
 from donorloom.operators.shared import materialize
 
@@ -16,3 +17,17 @@ def test_grown_components_equal_a_full_run(spark):
         got = sorted(tuple(r) for r in known.collect())
         assert got == sorted(tuple(r) for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert len(got) > 150 and len({c for _, c in got}) < len(got)
+
+
+def test_rounds_end_with_the_stars(spark, monkeypatch):
+    """What is stars already takes one round, and no other that would only show that nothing changes; repeated links and both
+    directions of a link are one. A chain takes as many rounds as it needs."""
+    written = []
+    monkeypatch.setattr(components, "materialize", lambda df, name="step": written.append(name) or materialize(df, name))
+    make = lambda links: connected_components(spark.createDataFrame(links, "a long, b long"))
+    got = sorted(tuple(r) for r in make([(1, n) for n in range(2, 40)] * 2 + [(n, 50) for n in range(51, 60)] + [(3, 1), (None, 1), (7, 7)]).collect())
+    assert got == [(n, 1) for n in range(1, 40)] + [(n, 50) for n in range(50, 60)]
+    assert written == ["edges", "stars"]
+    order = random.Random(2).sample(range(200), 200)
+    assert sorted(tuple(r) for r in make(list(zip(order, order[1:]))).collect()) == [(n, 0) for n in range(200)]
+    assert make([]).count() == 0
