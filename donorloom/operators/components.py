@@ -29,7 +29,7 @@ def _unsettled(edges: DataFrame) -> int:
     """Nodes with two lesser neighbours, or with a lesser and a greater one; without any, the links are stars around the least
     nodes, and a further round would change nothing."""
     lesser = edges.select("u", F.col("v").alias("lo"), F.col("v").alias("hi"), F.lit(False).alias("above"))
-    none = F.lit(None).cast("long")
+    none = F.lit(None).cast(edges.schema["v"].dataType)
     greater = edges.select(F.col("v").alias("u"), none.alias("lo"), none.alias("hi"), F.lit(True).alias("above"))
     each = lesser.union(greater).groupBy("u").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("above").alias("above"))
     return each.agg(F.count_if((F.col("lo") != F.col("hi")) | (F.col("lo").isNotNull() & F.col("above"))).alias("n")).first()["n"]

@@ -31,3 +31,11 @@ def test_rounds_end_with_the_stars(spark, monkeypatch):
     order = random.Random(2).sample(range(200), 200)
     assert sorted(tuple(r) for r in make(list(zip(order, order[1:]))).collect()) == [(n, 0) for n in range(200)]
     assert make([]).count() == 0
+
+
+def test_names_are_nodes_like_numbers(spark):
+    """Nodes are of whatever type the links have: names that are no numbers, and names that look like some."""
+    names = ["BLUE WIDGET", "COLD ANVIL", "LARGE GEAR", "10", "9", "", "É"]
+    links = [(names[0], names[1]), (names[2], names[1]), (names[3], names[4]), (names[5], names[6]), (None, "X"), ("Y", "Y")]
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(links, "a string, b string")).collect()}
+    assert got == {"BLUE WIDGET": "BLUE WIDGET", "COLD ANVIL": "BLUE WIDGET", "LARGE GEAR": "BLUE WIDGET", "10": "10", "9": "10", "": "", "É": ""}
