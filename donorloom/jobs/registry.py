@@ -364,10 +364,10 @@ same_place AS (SELECT p.canonical AS a, q.canonical AS b FROM places p JOIN plac
 @_query(O.query("SELECT DISTINCT a, b FROM close JOIN ratios ON id = a || '|' || b JOIN same_place USING (a, b) WHERE ratio >= threshold - 5", f"{_CANON},{_FUZZY},{_PLACES}"))
 def j10_address_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Similar names joined because addresses agree; every similar pair is taken for borderline here."""
-    rows = V.matched(spark, sf_dir)
-    named = _named(spark, sf_dir)
+    at = materialize(V.matched(spark, sf_dir).select("donor", "street", "city", "state").distinct(), "addresses")  # all rows are read once
+    named = materialize(clusters.canonicals(at), "canonicals")
     pairs = clusters.fuzzy_pairs(named.select("canonical")).withColumn("threshold", F.lit(101.0))
-    return clusters.address_edges(pairs, named, clusters.raw_addresses(rows))
+    return clusters.address_edges(pairs, named, clusters.raw_addresses(at))
 
 
 # Comparison

@@ -81,19 +81,29 @@ def raw_addresses(df: DataFrame) -> DataFrame:
 
 
 def address_edges(pairs: DataFrame, named: DataFrame, addresses: DataFrame) -> DataFrame:
-    """Borderline pairs of which any two addresses agree. Distinct address forms meet by state; those that are equal decide
-    first, and only pairs that their characters do not rule out go through ratios."""
-    close = pairs.filter(F.col("ratio") < F.col("threshold")).select("a", "b").distinct()
-    at = named.withColumn("donor_upper", F.upper("donor")).join(addresses, "donor_upper").filter("trim(street) != ''")
+    """Borderline pairs of which any two addresses agree. Pairs and the distinct address forms of their names are written once; forms
+    that are equal meet by equality and decide first. Only forms of pairs that are left meet by state, and only those that their
+    characters do not rule out go through ratios."""
+    close = materialize(pairs.filter(F.col("ratio") < F.col("threshold")).select("a", "b").distinct(), "close-pairs")
+    ends = close.select(F.explode(F.array("a", "b")).alias("canonical")).distinct()
+    at = named.join(ends, "canonical", "left_semi").withColumn("donor_upper", F.upper("donor")).join(addresses, "donor_upper").filter("trim(street) != ''")
     at = at.select("canonical", address_form(F.struct("street", "city", "state")).alias("form")).filter("form.street != ''").distinct()
+    at = materialize(at, "address-forms")
+    equal = materialize(_equal_places(close, at.select("canonical", "form.*")), "equal-addresses")
     counted = at.withColumns({c: similar.letter_counts(F.col(f"form.{c}")) for c in ("street", "city")})
     side = lambda name, form: counted.select(F.col("canonical").alias(name), F.col("form.state").alias("state"), F.col("form").alias(form), *(F.col(c).alias(f"{form}_{c}") for c in ("street", "city")))
-    met = close.join(side("a", "x"), "a").join(side("b", "y"), ["b", "state"])
-    x, y = F.col("x"), F.col("y")
-    equal = met.filter((x["street"] == y["street"]) & (x["city"] == y["city"]) & F.coalesce(x["part"] == y["part"], F.lit(True))).select("a", "b").distinct()
-    equal = materialize(equal, "equal-addresses")
-    rest = address_candidates(met).join(equal, ["a", "b"], "left_anti").filter(forms_compatible(x, y)).select("a", "b").distinct()
-    return equal.union(rest)
+    met = close.join(equal, ["a", "b"], "left_anti").join(side("a", "x"), "a").join(side("b", "y"), ["b", "state"])
+    return equal.union(address_candidates(met).filter(forms_compatible(F.col("x"), F.col("y"))).select("a", "b").distinct())
+
+
+def _equal_places(pairs: DataFrame, at: DataFrame) -> DataFrame:
+    """Pairs of which two address forms have the same street, city and state, and no different parts of a building."""
+    place = ["street", "city", "state"]
+    exact = at.filter("part is not null")
+    whole = at.filter("part is null").select("canonical", *place)
+    any_part = at.select("canonical", *place).distinct()
+    meet = lambda x, y, on: pairs.join(x.withColumnRenamed("canonical", "a"), "a").join(y.withColumnRenamed("canonical", "b"), ["b", *on]).select("a", "b")
+    return meet(exact, exact, [*place, "part"]).union(meet(whole, any_part, place)).union(meet(any_part, whole, place)).distinct()
 
 
 def address_candidates(met: DataFrame) -> DataFrame:
